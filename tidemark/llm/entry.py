@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, token_count
+from . import bpe, media, near_dup, token_count
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 UNIGRAM_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(_table(spark, sf_dir, "documents"), width=2, similarity=(80, 100))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), token_count.UnigramVocabulary.from_sentencepiece(UNIGRAM_MODEL))
 
@@ -36,5 +41,5 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_byte_bpe, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_token_counts, op4_byte_bpe, op10_media_columns)}
 ORACLE_SQL: dict[str, str] = {}
