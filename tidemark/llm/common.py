@@ -65,3 +65,26 @@ def read_driver_file(path: str) -> bytes:
     if len(data) > MAX_BROADCAST_BYTES:
         raise ValueError(f"{path} is larger than {MAX_BROADCAST_BYTES} bytes")
     return data
+
+
+def word_hashes(text):
+    """64-bit hashes of the lower-cased runs of letters, marks and digits of a text column; empty for null."""
+    from pyspark.sql import functions as F
+
+    found = F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+    return F.transform(found, lambda w: F.xxhash64(w))
+
+
+def chunks(batches, most: int):
+    """Keys and texts (null as empty) of (key, text) batches, in runs of at most `most` bytes of text or one row."""
+    for batch in batches:
+        keys, texts = batch.column(0), batch.column(1)
+        sizes = [len(t.as_buffer() or b"") for t in texts]
+        begin = total = 0
+        for i, n in enumerate(sizes):
+            if total and total + n > most:
+                yield keys.slice(begin, i - begin), [t or "" for t in texts.slice(begin, i - begin).to_pylist()]
+                begin, total = i, 0
+            total += n
+        if begin < len(sizes):
+            yield keys.slice(begin), [t or "" for t in texts.slice(begin).to_pylist()]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, near_dup, token_count
+from . import bpe, chat, decontam, license_scan, media, near_dup, token_count
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 UNIGRAM_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(_table(spark, sf_dir, "documents"), width=2, similarity=(80, 100))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -26,8 +30,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(_table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
-    return bpe.decode(ids, BPE_RANKS).select(
+    ids = bpe.encode(_table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN, decoded=True)
+    return ids.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
@@ -35,11 +39,35 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "matched", "item_words")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"), license_scan.notices(spark))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_token_counts, op4_byte_bpe, op10_media_columns)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_formatting,
+        op2_near_duplicates,
+        op3_token_counts,
+        op4_byte_bpe,
+        op5_decontamination,
+        op7_license_scan,
+        op10_media_columns,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_formatting": chat.ORACLE_SQL,
+    "op5_decontamination": decontam.ORACLE_SQL,
+    "op7_license_scan": license_scan.oracle_sql(),
+}
