@@ -9,21 +9,22 @@ an edit recomputes entries from the edited byte on until they agree with the old
 from __future__ import annotations
 
 import base64
+import struct
+from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_driver_file
+from .common import chunks, read_driver_file
 
-#: Distinct pieces that a Python worker remembers, and the longest piece (code points) worth remembering.
-CACHE_PIECES = 400_000
-CACHE_PIECE_CHARS = 48
+#: Distinct pieces that a Python worker remembers, and UTF-8 bytes of text that it takes at a time (or one text).
+CACHE_PIECES = 500_000
+CHUNK_BYTES = 2 << 20
 #: Pairs of tokens whose test a worker remembers.
 CACHE_PAIRS = 500_000
 
@@ -37,10 +38,10 @@ class Vocabulary:
         self.longest = max(map(len, ranks), default=0)
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[int, bool] = {}
-        self._ends = ahocorasick.Automaton()  # lists the tokens that end at each byte
-        for text, rank in ranks.items():
-            self._ends.add_word(text.decode("latin-1"), (len(text), rank))
-        self._ends.make_automaton()
+        size = max(self.tokens, default=0) + 1
+        self.lengths = np.array([len(self.tokens.get(i, b"")) for i in range(size)], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(size)), np.uint8)
 
     @classmethod
     def from_tiktoken(cls, data: bytes) -> Vocabulary:
@@ -70,30 +71,36 @@ class Vocabulary:
 
     def fill(self, data: bytes, last: list[int], start: int) -> None:
         """Appends the last token of each prefix of `data` longer than `start` to `last`."""
-        parts, pairs = self._parts, self._pairs
-        skip = max(0, start - self.longest)
-        done = start
-        for at, (size, token) in self._ends.iter(data[skip:].decode("latin-1")):
-            end = at + skip + 1
-            if end <= done:
-                continue
-            if (parts[token] if token in parts else self.parts(token)) is None:
-                continue
-            if end > done + 1:
-                break
-            if size != end:
-                pair = last[end - size - 1] << 24 | token
+        get, parts, pairs, longest = self.ranks.get, self._parts, self._pairs, self.longest
+        for end in range(start + 1, len(data) + 1):
+            # one token fits, so the order is free: short ones are found first as a rule
+            for begin in range(end - 1, max(end - longest, 0) - 1, -1):
+                token = get(data[begin:end])
+                if token is None or (parts[token] if token in parts else self.parts(token)) is None:
+                    continue
+                if not begin:
+                    break
+                pair = last[begin - 1] << 24 | token
                 fits = pairs.get(pair)
                 if fits is None:
                     if len(pairs) >= CACHE_PAIRS:
                         pairs.clear()
-                    fits = pairs[pair] = self._adjacent(last[end - size - 1], token)
-                if not fits:
-                    continue
+                    fits = pairs[pair] = self._adjacent(last[begin - 1], token)
+                if fits:
+                    break
+            else:
+                raise ValueError("a byte is missing from the vocabulary")
             last.append(token)
-            done = end
-        if done < len(data):
-            raise ValueError("a byte is missing from the vocabulary")
+
+    def ids(self, data: bytes, last: list[int]) -> list[int]:
+        """The encoding of `data`, read backwards off its table."""
+        out, end, tokens = [], len(data), self.tokens
+        while end:
+            token = last[end - 1]
+            out.append(token)
+            end -= len(tokens[token])
+        out.reverse()
+        return out
 
     def _adjacent(self, left: int, right: int) -> bool:
         """Does BPE leave these two tokens side by side?"""
@@ -144,44 +151,69 @@ class PrefixTable:
         return pos - start
 
     def ids(self) -> list[int]:
-        out, end = [], len(self.data)
-        while end:
-            out.append(self.last[end - 1])
-            end -= len(self.vocab.tokens[out[-1]])
-        return out[::-1]
+        return self.vocab.ids(self.data, self.last)
 
 
 class Encoder:
-    """Encodes whole texts: splits by a pattern, each piece by the dynamic program, recent pieces from memory."""
+    """Encodes whole texts: splits by a pattern, each piece by the dynamic program, recent pieces from memory.
+
+    New pieces of a chunk are taken in sorted order, so that a piece goes on from the table of the prefix that it shares
+    with the one before.
+    """
 
     def __init__(self, vocab: Vocabulary, pattern: str):
         self.vocab, self.find = vocab, regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def piece(self, text: str) -> tuple[int, ...]:
-        data = text.encode()
-        whole = self.vocab.ranks.get(data)
-        return (whole,) if whole is not None else tuple(PrefixTable(self.vocab, data).ids())
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        known, v = self.known, self.vocab
+        before, last = b"", []
+        for data, piece in sorted((p.encode(), p) for p in pieces):
+            whole = v.ranks.get(data)
+            if whole is not None:
+                known[piece] = _PACK(whole)
+                continue
+            shared = 0
+            for x, y in zip(before, data):
+                if x != y:
+                    break
+                shared += 1
+            del last[shared:]
+            v.fill(data, last, shared)
+            before = data
+            known[piece] = array("i", v.ids(data, last)).tobytes()
+        return known
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as packed 32-bit integers."""
+        split = [self.find(t) for t in texts]
+        known = self.known
+        new = set(chain.from_iterable(split)).difference(known)
+        if new:
+            if len(known) + len(new) > CACHE_PIECES:
+                known.clear()
+                new = set(chain.from_iterable(split))
+            known = self._learn(new)
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        if len(known) > CACHE_PIECES:
+            known.clear()
+        return out
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.find(text)
-        known = self.known
-        try:
-            return list(chain.from_iterable(map(known.__getitem__, pieces)))
-        except KeyError:
-            out: list[int] = []
-            for p in pieces:
-                ids = known.get(p)
-                if ids is None:
-                    ids = self.piece(p)
-                    if len(p) <= CACHE_PIECE_CHARS:
-                        if len(known) >= CACHE_PIECES:
-                            known.clear()
-                        known[p] = ids
-                out += ids
-            return out
+        return array("i", self.encode_all([text])[0]).tolist()
+
+    def decode_all(self, packed: list[bytes]) -> pa.Array:
+        """The bytes that packed ids stand for, as one binary array."""
+        v = self.vocab
+        ids = np.frombuffer(b"".join(packed), np.int32)
+        sizes = v.lengths[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(v.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])])]
+        return pa.Array.from_buffers(pa.binary(), len(packed), [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(v.flat[at])])
 
 
+_PACK = struct.Struct("i").pack
 _VOCABULARIES: dict[int, Vocabulary] = {}
 _ENCODERS: dict[tuple[int, str], Encoder] = {}
 
@@ -202,30 +234,28 @@ def _encoder(data: bytes, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Token ids of every whole text: (key, ids array<int>). No shuffle, one Arrow pass.
+def encode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """Token ids of every whole text: (key, ids array<int>); with `decoded` also the bytes that these ids stand for.
 
-    Null and empty texts give an empty array; rows are kept one for one, repeated keys and rows included; other columns
-    are dropped, so their names cannot clash. `ranks_path` is a rank file on the driver (checked to be small), `pattern`
-    splits the text before merging. Special tokens are ordinary text.
+    No shuffle, one Arrow pass. Null and empty texts give an empty array; rows are kept one for one, repeated keys and
+    rows included; other columns are dropped, so their names cannot clash. `ranks_path` is a rank file on the driver
+    (checked to be small), `pattern` splits the text before merging. Special tokens are ordinary text.
     """
     data = df.sparkSession.sparkContext.broadcast(read_driver_file(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(data.value, pattern)
-        for batch in batches:
-            flat, ends = [], [0]
-            for t in batch.column(1):
-                ids = enc.encode(t.as_py() or "")
-                flat.append(np.array(ids, dtype=np.int32))
-                ends.append(len(ids))
-            values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-            offsets = pa.array(list(accumulate(ends)), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(values))], names=["k", "ids"])
+        for keys, texts in chunks(batches, CHUNK_BYTES):
+            packed = enc.encode_all(texts)
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32))
+            cols = [keys, pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), np.int32)))]
+            if decoded:
+                cols.append(enc.decode_all(packed))
+            yield pa.RecordBatch.from_arrays(cols, names=["k", "ids", "decoded"][: len(cols)])
 
     src = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     kind = src.schema["k"].dataType.simpleString()
-    return src.mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+    return src.mapInArrow(run, f"k {kind}, ids array<int>" + ", decoded binary" * decoded).withColumnRenamed("k", key)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

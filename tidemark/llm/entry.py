@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, license_scan, media, near_dup, token_count
+from . import bpe, chat, decontam, license_scan, media, near_dup, pii, token_count
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 UNIGRAM_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -44,6 +44,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "matched", "item_words")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    base = {k: k for k in pii.PATTERNS}
+    count = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long").alias(f"n_{c}")
+    return found.select(
+        "doc_id",
+        *map(count, base),
+        F.sha2(pii.span_text(base), 256).alias("base_sha256"),
+        pii.span_text(base | {"term": "terms"}).alias("spans"),
+    )
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"), license_scan.notices(spark))
 
@@ -62,6 +74,7 @@ QUERIES = {
         op3_token_counts,
         op4_byte_bpe,
         op5_decontamination,
+        op6_pii,
         op7_license_scan,
         op10_media_columns,
     )

@@ -42,8 +42,12 @@ def _shingles(words: Column) -> Column:
     return F.when(F.size(words) >= WIDTH, F.transform(starts, one)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _hashed(i: int):
+    return lambda x: F.xxhash64(F.lit(i), x)
+
+
 def _bands(shingles: Column) -> Column:
-    low = [F.array_min(F.transform(shingles, lambda x, i=i: F.xxhash64(x, F.lit(i)))) for i in range(BANDS * ROWS)]
+    low = [F.array_min(F.transform(shingles, _hashed(i))) for i in range(BANDS * ROWS)]
     return F.array(*(F.xxhash64(F.lit(b), *low[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)))
 
 

@@ -30,7 +30,7 @@ WIDTH = 64
 SHARD_BYTES = 256 << 20
 HEADER = 33  # signature and IHDR chunk
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-INDEX = "digest string, shard string, offset long, length long, media_sha256 string, n_bytes long"
+INDEX = "digest binary, shard string, offset long, length long, n_bytes long"
 
 
 def pad(data: bytes) -> bytes:
@@ -44,7 +44,7 @@ def to_png(payload: bytes) -> bytes:
     raw[:, 1:] = rows
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
     head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw.tobytes(), 4)) + chunk(b"IEND", b"")
+    return SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
 def png_header(head: bytes) -> tuple[int, int, int]:
@@ -88,13 +88,13 @@ class _Shard:
         self.out = self.files.open_output_stream(self.path + ".part")
         self.at, self.seen = 0, {}
 
-    def add(self, digest: str, media: bytes) -> tuple:
+    def add(self, digest: bytes, media: bytes) -> tuple:
         if digest not in self.seen:
-            info = tarfile.TarInfo(f"{digest}.png")
+            info = tarfile.TarInfo(f"{digest.hex()}.png")
             info.size = len(media)
             head = info.tobuf(tarfile.USTAR_FORMAT)
             self.out.write(head + media + bytes(-len(media) % 512))
-            self.seen[digest] = (digest, self.uri, self.at + len(head), len(media), hashlib.sha256(media).hexdigest())
+            self.seen[digest] = (digest, self.uri, self.at + len(head), len(media))
             self.at += len(head) + len(media) + -len(media) % 512
         return self.seen[digest]
 
@@ -107,7 +107,7 @@ class _Shard:
 def write_media(df: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Packs every whole text into tar shards under the scratch folder and returns the written index.
 
-    Index: (key, digest, shard, offset, length, media_sha256, n_bytes), a row for each input row. Null and empty texts
+    Index: (key, digest binary, shard, offset, length, n_bytes), a row for each input row. Null and empty texts
     are payloads of 64 zero bytes. Equal payloads have one digest; all their rows name the same first location, and a
     shard holds a payload once however often it is repeated. Other columns are dropped.
     """
@@ -119,8 +119,8 @@ def write_media(df: DataFrame, scratch: Scratch, key: str = "doc_id", text: str
         def flush() -> pa.RecordBatch:
             keys = pa.array([k for k, _ in kept], ktype)
             cols = list(zip(*(r for _, r in kept)))
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-            out = pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["k", "digest", "shard", "offset", "length", "media_sha256", "n_bytes"])
+            kinds = (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            out = pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["k", "digest", "shard", "offset", "length", "n_bytes"])
             kept.clear()
             return out
 
@@ -130,7 +130,7 @@ def write_media(df: DataFrame, scratch: Scratch, key: str = "doc_id", text: str
                 data = (t.as_py() or "").encode()
                 payload = pad(data)
                 shard = shard or _Shard(root)
-                digest = hashlib.sha256(payload).hexdigest()
+                digest = hashlib.sha256(payload).digest()
                 row = shard.seen.get(digest) or shard.add(digest, to_png(payload))
                 kept.append((k.as_py(), (*row, len(data))))
                 if shard.at >= shard_bytes:
@@ -147,13 +147,13 @@ def write_media(df: DataFrame, scratch: Scratch, key: str = "doc_id", text: str
     src = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     kind = src.schema["k"].dataType.simpleString()
     index = scratch.save(src.mapInArrow(run, f"k {kind}, {INDEX}"), "index")
-    first = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length", "media_sha256")).alias("at"))
+    first = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
     return index.select("k", "digest", "n_bytes").join(first, "digest").select(F.col("k").alias(key), "digest", "at.*", "n_bytes")
 
 
 def _members(index: DataFrame) -> DataFrame:
     """Each stored payload once, those of a shard together and in order."""
-    return index.groupBy("digest", "shard", "offset", "length").agg(F.first("media_sha256").alias("media_sha256")).repartition("shard").sortWithinPartitions("shard", "offset")
+    return index.select("digest", "shard", "offset", "length").distinct().repartition("shard").sortWithinPartitions("shard", "offset")
 
 
 def _ranges(files: dict, uri: str):
@@ -175,13 +175,13 @@ def read_metadata(index: DataFrame) -> DataFrame:
             heads = [png_header(_ranges(files, r["shard"]).read_at(HEADER, r["offset"])) for r in b.select(["shard", "offset"]).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("digest"), *(pa.array(c, pa.int64()) for c in ([h[0] for h in heads], [h[1] for h in heads], [h[0] * h[1] for h in heads]))], names=["digest", "width", "height", "payload_bytes"])
 
-    return _members(index).mapInArrow(run, "digest string, width long, height long, payload_bytes long")
+    return _members(index).mapInArrow(run, "digest binary, width long, height long, payload_bytes long")
 
 
 def read_features(index: DataFrame) -> DataFrame:
     """(digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) from the stored bytes.
 
-    payload_bytes comes from the header; the stored bytes are hashed anew, and a mismatch with the index raises.
+    payload_bytes comes from the header; the samples are hashed anew, and a mismatch with their address raises.
     """
 
     def one(files: dict, r: dict) -> tuple:
@@ -189,24 +189,24 @@ def read_features(index: DataFrame) -> DataFrame:
         width, height, _ = png_header(f.read_at(HEADER, r["offset"]))
         media = f.read_at(r["length"], r["offset"])
         samples = png_samples(media)
-        stored = hashlib.sha256(media).hexdigest()
-        if stored != r["media_sha256"] or len(samples) != width * height:
+        digest = hashlib.sha256(samples)
+        if digest.digest() != r["digest"] or len(samples) != width * height:
             raise ValueError(f"{r['shard']} is damaged at {r['offset']}")
-        return r["digest"], width * height, hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), len(media), stored, feature(samples)
+        return r["digest"], width * height, digest.hexdigest(), zlib.crc32(samples[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: dict = {}
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         for b in batches:
             if b.num_rows:
                 rows = [one(files, r) for r in b.to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return _members(index).mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return _members(index).mapInArrow(run, "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Stores every text and returns, per row, its location and what the stored bytes say about it."""
     index = write_media(df, Scratch(df.sparkSession, "media"), key, text)
-    return index.drop("media_sha256").join(read_features(index), "digest")
+    return index.join(read_features(index), "digest")
