@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, license_scan, media, near_dup, pii, token_count
+from . import bpe, chat, decontam, license_scan, media, near_dup, pii, quality, token_count
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 UNIGRAM_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -60,6 +60,17 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"), license_scan.notices(spark))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id",
+        "lang",
+        F.round(F.exp("__loss"), 4).alias("perplexity"),
+        F.round(F.exp("__limit"), 4).alias("threshold"),
+        F.col("__accepted").alias("kept"),
+    )
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
@@ -76,6 +87,7 @@ QUERIES = {
         op5_decontamination,
         op6_pii,
         op7_license_scan,
+        op8_quality,
         op10_media_columns,
     )
 }
