@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, license_scan, media, near_dup, pii, quality, token_count
+from . import bpe, chat, decontam, html_extract, license_scan, media, near_dup, pii, quality, token_count
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 UNIGRAM_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -71,6 +71,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
@@ -88,6 +92,7 @@ QUERIES = {
         op6_pii,
         op7_license_scan,
         op8_quality,
+        op9_html_extraction,
         op10_media_columns,
     )
 }

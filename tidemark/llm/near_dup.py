@@ -286,3 +286,16 @@ def near_duplicates(
         F.col("k").eqNullSafe(id_).alias("kept"),
         (alone | (F.col("row") == F.col("first_of.row"))).alias("first"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+    """The documents, with all their columns, of which one stays for each component; texts without words all stay.
+
+    Among rows that repeat a key, those with a text that stays are kept once.
+    """
+    scratch = Scratch(docs.sparkSession, "dedup")
+    rows = docs.withColumn("__row", F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text).cast("string")).alias("hash")))
+    stay = scratch.save(near_duplicates(rows, "__row", text, width, similarity).where("first").select("__row"), "stay").distinct()
+    kept = rows.join(stay.select(F.col("__row.key").alias("sk"), F.col("__row.hash").alias("sh")), F.col("__row.key").eqNullSafe(F.col("sk")) & (F.col("__row.hash") == F.col("sh")), "left_semi")
+    twice = rows.groupBy("__row").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates([key, text]) if twice else kept).drop("__row")
