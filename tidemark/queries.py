@@ -46,7 +46,8 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_type", "value")
+    utc = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())  # ts has no zone: it counts as UTC
+    return _t(spark, d, "events").select("user_id", "event_id", F.unix_millis(utc).alias("ms"), "event_type", "value")
 
 
 def frames(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +94,7 @@ def doc_lines(spark: SparkSession, d: str) -> DataFrame:
     return w.select("doc_id", "sent", (F.col("sent") * 2000).alias("s"), (F.col("sent") * 2000 + 1500).alias("e"), F.when(F.col("sent") % 2 == 1, "H").otherwise("G").alias("spk"), "text")
 
 
-EV = "ev AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, event_type, value FROM events)"
+EV = "ev AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, event_type, value FROM events)"
 FR = f"{EV}, fr AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) - 1 AS i, value AS v, ms, event_id, event_type FROM ev)"
 A = f"{EV}, a AS (SELECT user_id, ms AS s, ms + event_id % 5 * {HOUR} AS e FROM ev WHERE event_type = 'purchase')"
 B = f"b AS (SELECT user_id, ms - {HOUR // 2} AS s, ms + event_id % 7 * {HOUR // 2} AS e FROM ev WHERE event_type = 'error')"
@@ -732,8 +733,8 @@ def slot_takeover(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {A}, {_merged('m', 'a')}, c AS (SELECT *, sum(e - s) OVER (PARTITION BY user_id ORDER BY s) AS upto, sum(e - s) OVER (PARTITION BY user_id) AS total FROM m),
-w AS (SELECT DISTINCT user_id, total, unnest([0, 1, 2]) AS i FROM c WHERE total >= 1800000), p AS (SELECT *, (i + 0.5::DOUBLE) / 3 * total AS at FROM w)
-SELECT p.user_id, i, round(greatest(least(s + greatest(at - (upto - (e - s)) - 900000, 0), e - 1800000), 0), 3)::DOUBLE AS start FROM p JOIN c ON c.user_id = p.user_id AND at > upto - (e - s) AND at <= upto""")
+w AS (SELECT DISTINCT user_id, total, unnest([0, 1, 2]) AS i FROM c WHERE total >= 1800000), p AS (SELECT *, (i + 0.5::DOUBLE) / 3 * total AS mid FROM w)
+SELECT p.user_id, i, round(greatest(least(s + greatest(mid - (upto - (e - s)) - 900000, 0), e - 1800000), 0), 3)::DOUBLE AS start FROM p JOIN c ON c.user_id = p.user_id AND mid > upto - (e - s) AND mid <= upto""")
 def spread_picks(spark: SparkSession, d: str) -> DataFrame:
     clean = iv.merge(purchases(spark, d), U)
     wanted = clean.select("user_id").distinct().select("user_id", F.lit(3).alias("n"), F.lit(1_800_000.0).alias("length"))
@@ -746,7 +747,7 @@ def stay_end(spark: SparkSession, d: str) -> DataFrame:
     return selection.stay_end(pieces(spark, d), O).select("l_orderkey", "pos", "stay")
 
 
-@query(f"""WITH {FR}, sn AS (SELECT user_id, i AS sent, ms AS s, ms + 60000 AS e, event_type AS spk FROM fr), p AS (SELECT user_id, ms + 30000 AS t, i AS k FROM fr WHERE event_type = 'purchase'),
+@query(f"""WITH {FR}, sn AS (SELECT user_id, i AS sent, ms AS s, ms + 60000 AS e, event_type AS spk FROM fr), p AS (SELECT user_id, ms + 30000 AS t, (SELECT min(y.i) FROM fr y WHERE y.user_id = x.user_id AND y.ms <= x.ms + 30000 AND x.ms + 30000 <= y.ms + 60000) AS k FROM fr x WHERE event_type = 'purchase'),
 j AS (SELECT p.user_id, t, k, sent, sn.s, sn.e, spk, first(spk) OVER w AS spk0, first(sn.s) OVER w AS s0, lag(sn.e) OVER w AS pe FROM p JOIN sn ON sn.user_id = p.user_id AND sent >= k WINDOW w AS (PARTITION BY p.user_id, t ORDER BY sent)),
 b AS (SELECT user_id, t, min(sent) AS stop FROM j WHERE sent > k AND (spk <> spk0 OR e - s0 > {48 * HOUR} OR s - pe > {24 * HOUR}) GROUP BY ALL)
 SELECT j.user_id, j.t, min(s) AS s, max(e) AS e FROM j LEFT JOIN b USING (user_id, t) WHERE stop IS NULL OR sent < stop GROUP BY ALL""")
