@@ -17,6 +17,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 CONTEXT, SUPPORT = 80, 3
 GENERALISE, REMOVE = 0.8, 0.95
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -85,28 +87,40 @@ def _tagged(kind: int, x: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"))
 
 
-def _near(base: DataFrame) -> DataFrame:
-    """(k, th, ent, term, s, e): the words near each entity; a row with a null term where there is none."""
+def _spans(docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
+    """(k, th, email, ip, card, phone, near), written: near holds for each span what stands beside it.
+
+    It is a table because a filter on it would else be pushed below and repeat the patterns for every match."""
     none = F.array().cast("array<struct<kind:int,s:int,e:int,v:string>>")
-    all_ = F.concat(*(F.coalesce(F.transform(kind, partial(_tagged, i)), none) for i, kind in enumerate(PATTERNS)))
-    df = base.select("k", "th", "t", all_.alias("all")).where(F.size("all") > 0)
-    df = df.select("k", "th", "t", "all", F.explode("all").alias("x"))
-    value = F.when(F.col("x.kind") == 0, F.lower("x.v")).when(F.col("x.kind") == 1, F.col("x.v")).otherwise(F.regexp_replace("x.v", "[^0-9]", ""))
-    begin, end = F.greatest(F.col("x.s") - CONTEXT, F.lit(0)), F.least(F.col("x.e") + CONTEXT, F.length("t"))
-    side = lambda frm, to: F.struct(frm.alias("frm"), to.alias("to"))
-    df = df.select("k", "th", "t", "all", F.xxhash64("x.kind", value).alias("ent"), F.explode(F.array(side(begin, F.col("x.s")), side(F.col("x.e"), end))).alias("w"))
-    df = df.select("k", "th", "all", "ent", "w", F.length("t").alias("size"), F.expr("substring(t, w.frm + 1, w.to - w.frm)").alias("near"))
-    df = _places(df, "near", TERM, "words").withColumn("word", F.explode_outer("words"))
+    df = _base(docs, key, text).withColumn("all", F.concat(*(F.coalesce(F.transform(kind, partial(_tagged, i)), none) for i, kind in enumerate(PATTERNS))))
+    value = lambda x: F.when(x["kind"] == 0, F.lower(x["v"])).when(x["kind"] == 1, x["v"]).otherwise(F.regexp_replace(x["v"], "[^0-9]", ""))
+    begin = lambda x: F.greatest(x["s"] - CONTEXT, F.lit(0))
+    end = lambda x: F.least(x["e"] + CONTEXT, F.length("t"))
+    cut = lambda frm, to: F.substring(F.col("t"), frm + 1, to - frm)
+
+    def beside(x: Column) -> Column:
+        left = F.struct(begin(x).alias("frm"), (begin(x) > 0).alias("cut_first"), F.lit(False).alias("cut_last"), cut(begin(x), x["s"]).alias("text"))
+        right = F.struct(x["e"].alias("frm"), F.lit(False).alias("cut_first"), (end(x) < F.length("t")).alias("cut_last"), cut(x["e"], end(x)).alias("text"))
+        return F.struct(F.xxhash64(x["kind"], value(x)).alias("ent"), F.array(left, right).alias("sides"))
+
+    df = df.withColumn("near", F.transform("all", beside))
+    return scratch.save(df.select("k", "th", *PATTERNS, "near"), "spans")
+
+
+def _near(spans: DataFrame) -> DataFrame:
+    """(k, th, ent, term, s, e): the words near each entity; a row with a null term where there is none."""
+    base = F.concat(*(F.coalesce(F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))), F.array().cast("array<struct<s:int,e:int>>")) for kind in PATTERNS))
+    df = spans.select("k", "th", base.alias("all"), F.explode("near").alias("x")).select("k", "th", "all", "x.ent", F.explode("x.sides").alias("w"))
+    df = _places(df.select("k", "th", "all", "ent", "w", F.col("w.text").alias("near")), "near", TERM, "words").withColumn("word", F.explode_outer("words"))
     s, e = F.col("w.frm") + F.col("word.s"), F.col("w.frm") + F.col("word.e")
-    cut = ((F.col("word.s") == 0) & (F.col("w.frm") > 0)) | ((e == F.col("w.to")) & (F.col("w.to") < F.col("size")))
+    cut = (F.col("w.cut_first") & (F.col("word.s") == 0)) | (F.col("w.cut_last") & (F.col("word.e") == F.length("near")))
     inside = F.exists("all", lambda x: (x["s"] < e) & (x["e"] > s))
     bad = cut | inside | (F.col("word.e") - F.col("word.s") < LEAST_TERM)
     return df.select("k", "th", "ent", F.when(~bad, F.lower("word.v")).alias("term"), s.alias("s"), e.alias("e"))
 
 
-def disclosures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The words near entities, as _near, and (ent, term, disclosure) of those that disclose, over the whole corpus."""
-    near = _near(_base(docs, key, text))
+def disclosures(docs: DataFrame, near: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(ent, term, disclosure) of the words near entities that disclose them, over the whole corpus."""
     met = near.where("term IS NOT NULL").select("ent", "term", "k", "th").distinct().groupBy("ent", "term").agg(F.count("*").alias("co"))
     entities = near.select("ent", "k", "th").distinct().groupBy("ent").agg(F.count("*").alias("df_ent"))
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
@@ -117,7 +131,7 @@ def disclosures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tup
     content = F.log(F.col("n") / F.col("df_ent"))
     pmi = F.log(F.col("co") * F.col("n") / (F.col("df_term") * F.col("df_ent")))
     found = found.where(F.col("df_ent") < F.col("n")).withColumn("disclosure", pmi / content)
-    return near, found.where(F.col("disclosure") >= GENERALISE).select("ent", "term", "disclosure")
+    return found.where(F.col("disclosure") >= GENERALISE).select("ent", "term", "disclosure")
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,12 +141,14 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     exclusive; null or empty where there are none. Null texts count as empty. Documents of equal key and text share their
     spans; null keys are rows like others. Other columns are dropped.
     """
-    near, found = disclosures(docs, key, text)
+    scratch = Scratch(docs.sparkSession, "pii")
+    spans = _spans(docs, key, text, scratch)
+    near = scratch.save(_near(spans), "near")
+    found = disclosures(docs, near, key, text)
     hit = near.join(found, ["ent", "term"]).groupBy("k", "th", "s", "e").agg((F.max("disclosure") >= REMOVE).alias("remove"))
     terms = hit.groupBy("k", "th").agg(F.array_sort(F.collect_list(F.struct("s", "e", "remove"))).alias("terms"))
     terms = terms.select(F.col("k").alias("tk"), F.col("th").alias("tth"), "terms")
-    base = _base(docs, key, text).drop("t")
-    out = base.join(terms, F.col("k").eqNullSafe(F.col("tk")) & (F.col("th") == F.col("tth")), "left").drop("tk", "tth")
+    out = spans.drop("near").join(terms, F.col("k").eqNullSafe(F.col("tk")) & (F.col("th") == F.col("tth")), "left").drop("tk", "tth")
     return out.withColumnsRenamed({"k": key, "th": "text_hash"})
 
 
