@@ -105,12 +105,18 @@ class _Shard:
 
 
 def write_media(df: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Packs every whole text into tar shards under the scratch folder and returns the written index.
+    """Packs every whole text into tar shards under the scratch folder and returns the index.
 
     Index: (key, digest binary, shard, offset, length, n_bytes), a row for each input row. Null and empty texts
     are payloads of 64 zero bytes. Equal payloads have one digest; all their rows name the same first location, and a
     shard holds a payload once however often it is repeated. Other columns are dropped.
     """
+    rows, first = _write(df, scratch, key, text, shard_bytes)
+    return rows.join(first, "digest").select(key, "digest", "shard", "offset", "length", "n_bytes")
+
+
+def _write(df: DataFrame, scratch: Scratch, key: str, text: str, shard_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(key, digest, n_bytes) of each row, and (digest, shard, offset, length) of each payload's first location."""
     root = scratch.path("shards")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,8 +153,8 @@ def write_media(df: DataFrame, scratch: Scratch, key: str = "doc_id", text: str
     src = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     kind = src.schema["k"].dataType.simpleString()
     index = scratch.save(src.mapInArrow(run, f"k {kind}, {INDEX}"), "index")
-    first = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
-    return index.select("k", "digest", "n_bytes").join(first, "digest").select(F.col("k").alias(key), "digest", "at.*", "n_bytes")
+    first = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+    return index.select(F.col("k").alias(key), "digest", "n_bytes"), scratch.save(first, "first")
 
 
 def _members(index: DataFrame) -> DataFrame:
@@ -208,5 +214,8 @@ def read_features(index: DataFrame) -> DataFrame:
 
 def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Stores every text and returns, per row, its location and what the stored bytes say about it."""
-    index = write_media(df, Scratch(df.sparkSession, "media"), key, text)
-    return index.join(read_features(index), "digest")
+    scratch = Scratch(df.sparkSession, "media")
+    rows, first = _write(df, scratch, key, text, SHARD_BYTES)
+    # one join of the rows with all that is known of a payload: a digest that many rows share can be split
+    known = scratch.save(first.join(read_features(first), "digest"), "known")
+    return rows.join(known, "digest")
