@@ -6,9 +6,10 @@ with probability equal to the Jaccard similarity, and their number of agreements
 that of t independent ones.
 
 Candidates share all coordinates of one band; equal sets are one class from the start and only classes are compared.
-Links are confirmed on the full shingle sets. Within a bucket each class meets the least one (a star), and two others
-only where stars have left them in different components, so a group of n near copies costs about n comparisons and no
-link between components is missed. Components, buckets and texts live in tables in the shared folder.
+Links are confirmed on the full shingle sets. Within a bucket each class meets the least one (a star). Where stars leave
+different components in a bucket, each class meets the one with the fewest shingles that are its own alone, and at last
+any pair of which an exact bound allows a link: folds of 2,048 bits that never differ in more bits than the sets differ in
+shingles. So a group of n near copies costs about n comparisons, and no link between components is missed. Components, buckets and texts live in tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import Scratch
 BANDS, ROWS = 40, 5
 #: Two sets of similarity 0.8 or more differ in more of the 200 one-bit marks than this with probability under 1e-10.
 MARK_SIGMAS = 8
+FOLD_BITS = 2048
+FOLDS = [f"f{i}" for i in range(FOLD_BITS // 64)]
 CACHE_WORDS = 500_000
 _M = (1 << 64) - 1
 
@@ -149,6 +152,35 @@ def _texts(src: DataFrame, wanted: DataFrame, width: int, bands: int, rows: int)
     return src.join(wanted.withColumnRenamed("k", "wk"), F.col("k").eqNullSafe(F.col("wk"))).select("node", "fp", "t").mapInArrow(run, "node long, t string")
 
 
+def _folds(texts: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """(node, f0, f1, ...): each shingle flips one of FOLD_BITS bits. Where two folds differ the sets differ, so the
+    number of such bits is never more than the size of the sets' symmetric difference."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _SKETCHERS.setdefault((width, bands, rows), Sketcher(width, bands, rows))
+        for batch in batches:
+            flips = [np.bincount(own.shingles(t.as_py()) % np.uint64(FOLD_BITS), minlength=FOLD_BITS) & 1 for t in batch.column(1)]
+            longs = np.packbits(np.array(flips, np.uint8).reshape(-1, FOLD_BITS), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(len(FOLDS)))], names=["node", *FOLDS])
+
+    return texts.select("node", "t").mapInArrow(run, "node long, " + ", ".join(f"{f} long" for f in FOLDS))
+
+
+def _own_shingles(texts: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """(node, own): how many shingles of a node no other of these nodes has. texts: (node, t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher = _SKETCHERS.setdefault((width, bands, rows), Sketcher(width, bands, rows))
+        for batch in batches:
+            for node, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = sketcher.shingles(t)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(s.view(np.int64))], names=["node", "shingle"])
+
+    each = texts.select("node", "t").mapInArrow(run, "node long, shingle long")
+    alone = each.groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("c")).where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
+    return texts.select("node").join(alone, "node", "left").select("node", F.coalesce("own", F.lit(0).cast("long")).alias("own"))
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose full sets have den * |A and B| >= num * |A or B|."""
 
@@ -262,20 +294,45 @@ def near_duplicates(
 
     extend(labelled(star.distinct()).where("ca <> cb").select("a", "b"), "-stars")
 
-    # what stars have left apart: classes of one bucket in different components, neither of them its least
-    inside = labels.withColumnRenamed("comp", "c")
-    members = buckets.join(inside, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    apart = members.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    members = scratch.save(members.join(apart, "band", "left_semi").where("node <> lead").join(facts, "node"), "apart")
-    x, y = members.alias("x"), members.alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c")) & close("x", "y"))
+    # what stars have left apart: buckets of several components
+    def apart() -> DataFrame:
+        inside = labels.select(F.col("node").alias("in"), F.col("comp").alias("c"))
+        members = buckets.join(inside, F.col("node") == F.col("in"), "left").withColumn("c", F.coalesce("c", "node")).drop("in")
+        mixed = members.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
+        return members.join(mixed, "band", "left_semi")
+
+    # for what is left: exact lower bounds on how much two sets differ, and how much of a set is its own
+    members = scratch.save(apart(), "apart")
+    left = texts.join(members.select("node").distinct(), "node", "left_semi")
+    folds = scratch.save(_folds(left, width, bands, rows), "folds")
+    facts = facts.join(folds, "node")
+
+    def possible(x: str, y: str):
+        """Could two classes be linked, by their folds as well?"""
+        bits = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{x}.{f}").bitwiseXOR(F.col(f"{y}.{f}"))) for f in FOLDS))
+        return close(x, y) & (bits * (den + num) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (den - num))
+
+    # a second star around the class that has the least of its own, then whatever pairs are still possible
+    own = scratch.save(_own_shingles(left, width, bands, rows), "own")
+    best = members.join(own, "node").join(nodes.select("node", "n"), "node").groupBy("band").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("part"), "node")).alias("best"))
+    hub = members.join(best, "band").select(F.col("node").alias("a"), F.col("best.node").alias("b")).where("a <> b")
+    a, b = facts.alias("x"), facts.alias("y")
+    hub = labelled(hub.distinct()).where("ca <> cb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    extend(hub.join(a, F.col("a") == F.col("x.node")).join(b, F.col("b") == F.col("y.node")).where(possible("x", "y")).select("a", "b"), "-hubs")
+
+    # the largest component of a bucket needs no pairs of its own: only what is outside of it meets all others
+    members = scratch.save(apart().join(facts, "node"), "apart")
+    major = members.groupBy("band", "c").agg(F.count("*").alias("size")).groupBy("band").agg(F.max_by("c", F.struct("size", "c")).alias("major"))
+    x, y = members.join(major, "band").where("c <> major").alias("x"), members.alias("y")
+    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & possible("x", "y"))
     rest = rest.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     extend(rest, "-rest")
     scratch.drop(texts, buckets, members)
 
     named = classes.join(labels, "node", "left").select("fp", "low", F.coalesce("comp", "node").alias("comp"))
-    low = named.groupBy("comp").agg(F.min("low").alias("first_of"))
-    named = named.join(low, "comp").select("fp", "first_of")
+    # tables in between, so that each join has two exchanges of its own and a hot component or class can be split
+    low = scratch.save(named.groupBy("comp").agg(F.min("low").alias("first_of")), "least")
+    named = scratch.save(named.join(low, "comp").select("fp", "first_of"), "named")
     out = docs.select("k", "n", "fp", "row").join(named, "fp", "left")
     alone = F.col("n") == 0
     id_ = F.when(alone, F.col("k")).otherwise(F.col("first_of.k"))
