@@ -185,7 +185,7 @@ def _score(docs: DataFrame, model: DataFrame, lang: str, text: str, out: str, sc
             own = np.array([x or "" for x in b.column(lang).to_pylist()], dtype=object)
             loss: list[float | None] = [None] * len(texts)
             for x in set(own):
-                rows_ = [i for i in np.flatnonzero(own == x) if texts[i]]
+                rows_ = [i for i in np.flatnonzero(own == x) if texts[i].strip()]
                 if x not in models or not rows_:
                     continue
                 grams = [_grams(texts[i]) for i in rows_]
@@ -207,7 +207,7 @@ def _score_sharded(docs: DataFrame, model: DataFrame, lang: str, text: str, out:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in _runs(batches, "t"):
             for row, x, t in zip(b.column("row").to_pylist(), b.column("lang").to_pylist(), texts):
-                if t:
+                if t.strip():
                     g = _grams(t)
                     seen, at = np.unique(g, return_inverse=True)
                     w = np.bincount(at, weights=_word_weights(g))
