@@ -148,6 +148,16 @@ def test_disclosing_words_are_found_and_replaced(spark):
     assert pii.sanitise(df.limit(0)).collect() == []
 
 
+def test_words_beside_rare_entities_disclose_them(spark):
+    rows = [(0, "Ask Zorblax the plumber at joe@site.org or call"), (1, "Quibbly calls from 10.1.2.3 at will"), (2, "Quibbly calls from 10.1.2.3 at will")]
+    rows += [(10 + i, "the plumber calls or will ask from here") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean[0] == "Ask [REMOVED] the plumber at [EMAIL] or [REMOVED]"
+    assert clean[1] == clean[2] == "[REMOVED] calls from [IP] at will"
+    assert all(clean[k] == t for k, t in rows if k >= 10)
+
+
 def test_sanitise_joins_overlaps_and_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, "x 1.2.3.4@h.de +1 (555) 123-4567 é", "s"), (1, None, "t")], "doc_id long, text string, source string")
     got = {r.source: r.text for r in pii.sanitise(df).collect()}

@@ -7,7 +7,8 @@ word discloses an entity as far as their pointwise mutual information reaches th
     disclosure = log(co * N / (df_word * df_entity)) / log(N / df_entity)
 
 Words of a disclosure of REMOVE or more are removed where they stand near the entity, those of GENERALISE or more are
-replaced by their class. A word counts only if it stood near the entity in SUPPORT documents, as one meeting says nothing.
+replaced by their class. There is no least number of meetings: an entity of one document is the rarest of all, and a word
+that no other document holds gives it away in full.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-CONTEXT, SUPPORT = 80, 3
+CONTEXT = 80
 GENERALISE, REMOVE = 0.8, 0.95
 KINDS = ("email", "ip", "card", "phone", "term")
 
@@ -126,7 +127,7 @@ def disclosures(docs: DataFrame, near: DataFrame, key: str = "doc_id", text: str
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0)))
     df_term = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
-    found = met.where(F.col("co") >= SUPPORT).join(df_term, "term").join(entities, "ent")
+    found = met.join(df_term, "term").join(entities, "ent")
     found = found.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))  # one row
     content = F.log(F.col("n") / F.col("df_ent"))
     pmi = F.log(F.col("co") * F.col("n") / (F.col("df_term") * F.col("df_ent")))
