@@ -1,7 +1,9 @@
 """Chat formatting, decontamination, licence scan and personal data."""
 
+import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -158,6 +160,32 @@ def test_words_beside_rare_entities_disclose_them(spark):
     assert all(clean[k] == t for k, t in rows if k >= 10)
 
 
+def test_disclosing_words_go_wherever_the_entity_is_in_the_document(spark):
+    far = "the plumber calls or will ask from here " * 40
+    texts = {1: f"Zorblax {far}joe@site.org {far}ZORBLAX", 2: f"ask Zorblax {far}joe@site.org", 3: f"Zorblax {far}"}
+    rows = [*texts.items(), (None, texts[1]), (None, texts[1])] + [(10 + i, far) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = collections.Counter((r.doc_id, r.text) for r in pii.sanitise(df).collect())
+    assert clean[1, f"[WORD] {far}[EMAIL] {far}[WORD]"] == 1 and clean[2, f"ask [WORD] {far}[EMAIL]"] == 1
+    assert clean[None, f"[WORD] {far}[EMAIL] {far}[WORD]"] == 2 and clean[3, texts[3]] == 1 and sum(clean.values()) == len(rows)
+
+
+def test_disclosures_by_brute_force(spark):
+    rnd = random.Random(12)
+    ents = [f"u{i}@site.org" for i in range(8)]
+    vocab = [f"word{i}" for i in range(60)]
+    docs = [" ".join([rnd.choice(vocab) for _ in range(rnd.randint(1, 12))] + rnd.sample(ents, rnd.choice([0, 0, 1, 2]))) for _ in range(80)]
+    split = [(set(re.findall(r"word[0-9]+", d)), set(re.findall(r"u[0-9]@site.org", d))) for d in docs]
+    want = {}
+    for k, (words, held) in enumerate(split):
+        for w in words:
+            best = max((math.log(sum(w in a and e in b for a, b in split) * len(docs) / (sum(w in a for a, _ in split) * (n := sum(e in b for _, b in split)))) / math.log(len(docs) / n) for e in held), default=0)
+            if best >= pii.GENERALISE:
+                want |= {(k, m.start(), m.end()): best >= pii.REMOVE for m in re.finditer(rf"\b{w}\b", docs[k])}
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert want and {(r.doc_id, x.s, x.e): x.remove for r in pii.find(df).collect() for x in r.terms or []} == want
+
+
 def test_sanitise_joins_overlaps_and_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, "x 1.2.3.4@h.de +1 (555) 123-4567 é", "s"), (1, None, "t")], "doc_id long, text string, source string")
     got = {r.source: r.text for r in pii.sanitise(df).collect()}

@@ -1,13 +1,14 @@
 r"""Personal data: patterns, and terms that give protected entities away, in DataFrame operations only.
 
 Four patterns find the protected entities (e-mail, IP, card and phone numbers). Over the whole corpus the operator then
-counts, for each entity and each word within CONTEXT code points of it, in how many documents they stand together. A
+counts, for each entity and each word of the documents that hold it, in how many documents they stand together. A
 word discloses an entity as far as their pointwise mutual information reaches the entity's information content:
 
     disclosure = log(co * N / (df_word * df_entity)) / log(N / df_entity)
 
-Words of a disclosure of REMOVE or more are removed where they stand near the entity, those of GENERALISE or more are
-replaced by their class. There is no least number of meetings: an entity of one document is the rarest of all, and a word
+Words of a disclosure of REMOVE or more are removed wherever they stand in the documents that hold the entity, those of
+GENERALISE or more are replaced by their class. Entities of the same documents have the same counts with every word, so
+they are counted as one group. There is no least number of meetings: an entity of one document is the rarest of all, and a word
 that no other document holds gives it away in full.
 """
 
@@ -15,12 +16,11 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-CONTEXT = 80
 GENERALISE, REMOVE = 0.8, 0.95
 KINDS = ("email", "ip", "card", "phone", "term")
 
@@ -89,50 +89,62 @@ def _tagged(kind: int, x: Column) -> Column:
 
 
 def _spans(docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
-    """(k, th, email, ip, card, phone, near), written: near holds for each span what stands beside it.
+    """(k, th, email, ip, card, phone, ents, t), written: ents names the text's entities, t is null where there are none.
 
     It is a table because a filter on it would else be pushed below and repeat the patterns for every match."""
     none = F.array().cast("array<struct<kind:int,s:int,e:int,v:string>>")
     df = _base(docs, key, text).withColumn("all", F.concat(*(F.coalesce(F.transform(kind, partial(_tagged, i)), none) for i, kind in enumerate(PATTERNS))))
     value = lambda x: F.when(x["kind"] == 0, F.lower(x["v"])).when(x["kind"] == 1, x["v"]).otherwise(F.regexp_replace(x["v"], "[^0-9]", ""))
-    begin = lambda x: F.greatest(x["s"] - CONTEXT, F.lit(0))
-    end = lambda x: F.least(x["e"] + CONTEXT, F.length("t"))
-    cut = lambda frm, to: F.substring(F.col("t"), frm + 1, to - frm)
-
-    def beside(x: Column) -> Column:
-        left = F.struct(begin(x).alias("frm"), (begin(x) > 0).alias("cut_first"), F.lit(False).alias("cut_last"), cut(begin(x), x["s"]).alias("text"))
-        right = F.struct(x["e"].alias("frm"), F.lit(False).alias("cut_first"), (end(x) < F.length("t")).alias("cut_last"), cut(x["e"], end(x)).alias("text"))
-        return F.struct(F.xxhash64(x["kind"], value(x)).alias("ent"), F.array(left, right).alias("sides"))
-
-    df = df.withColumn("near", F.transform("all", beside))
-    return scratch.save(df.select("k", "th", *PATTERNS, "near"), "spans")
-
-
-def _near(spans: DataFrame) -> DataFrame:
-    """(k, th, ent, term, s, e): the words near each entity; a row with a null term where there is none."""
-    base = F.concat(*(F.coalesce(F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))), F.array().cast("array<struct<s:int,e:int>>")) for kind in PATTERNS))
-    df = spans.select("k", "th", base.alias("all"), F.explode("near").alias("x")).select("k", "th", "all", "x.ent", F.explode("x.sides").alias("w"))
-    df = _places(df.select("k", "th", "all", "ent", "w", F.col("w.text").alias("near")), "near", TERM, "words").withColumn("word", F.explode_outer("words"))
-    s, e = F.col("w.frm") + F.col("word.s"), F.col("w.frm") + F.col("word.e")
-    cut = (F.col("w.cut_first") & (F.col("word.s") == 0)) | (F.col("w.cut_last") & (F.col("word.e") == F.length("near")))
-    inside = F.exists("all", lambda x: (x["s"] < e) & (x["e"] > s))
-    bad = cut | inside | (F.col("word.e") - F.col("word.s") < LEAST_TERM)
-    return df.select("k", "th", "ent", F.when(~bad, F.lower("word.v")).alias("term"), s.alias("s"), e.alias("e"))
-
-
-def disclosures(docs: DataFrame, near: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(ent, term, disclosure) of the words near entities that disclose them, over the whole corpus."""
-    met = near.where("term IS NOT NULL").select("ent", "term", "k", "th").distinct().groupBy("ent", "term").agg(F.count("*").alias("co"))
-    entities = near.select("ent", "k", "th").distinct().groupBy("ent").agg(F.count("*").alias("df_ent"))
+    df = df.withColumn("ents", F.array_distinct(F.transform("all", lambda x: F.xxhash64(x["kind"], value(x)))))
+    return scratch.save(df.select("k", "th", *PATTERNS, "ents", F.when(F.size("ents") > 0, F.col("t")).alias("t")), "spans")
+
+
+def _by_document(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    b = b.withColumnsRenamed({"k": "bk", "th": "bth"})
+    return a.join(b, F.col("k").eqNullSafe(F.col("bk")) & (F.col("th") == F.col("bth")), how).drop("bk", "bth")
+
+
+def _terms(text: str) -> Column:
+    """The distinct lower-cased words of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _groups(held: DataFrame) -> DataFrame:
+    """(k, th, groups): the groups of entities in each document that holds any, a group being those of the same documents."""
+    one = held.select("k", "th", F.explode("ents").alias("ent"), F.xxhash64("k", "th").alias("h"))
+    sums = F.sum(F.shiftright("h", 32)).alias("hi"), F.sum(F.col("h").bitwiseAND(0xFFFFFFFF)).alias("lo")
+    ents = one.groupBy("ent").agg(F.count("*").alias("df_ent"), *sums)
+    ents = ents.select("ent", "df_ent", F.xxhash64("hi", "lo", "df_ent").alias("grp"))
+    return one.join(ents, "ent").groupBy("k", "th").agg(F.collect_set(F.struct("grp", "df_ent")).alias("groups"))
+
+
+def _met(held: DataFrame) -> DataFrame:
+    """(k, th, grp, df_ent, term): each word of each document that holds an entity, with the document's groups."""
+    both = _by_document(held, _groups(held)).select("k", "th", "groups", F.explode_outer(_terms("t")).alias("term"))
+    met = both.where(F.length("term") >= LEAST_TERM).select("k", "th", F.explode("groups").alias("g"), "term")
+    return met.select("k", "th", "g.grp", "g.df_ent", "term")
+
+
+def _words(held: DataFrame) -> DataFrame:
+    """(k, th, term, s, e): every word of each document; places are running sums, as `_places` suits short lists only."""
+    found = F.regexp_extract_all(F.col("t"), F.lit(TERM), F.lit(0))
+    both = F.arrays_zip(F.split("t", TERM, -1).alias("part"), found.alias("word"))
+    rows = held.select("k", "th", "t").dropDuplicates(["k", "th"]).select("k", "th", F.posexplode_outer(both).alias("i", "x"))
+    size = F.coalesce(F.length("x.word"), F.lit(0))
+    end = F.sum(F.length("x.part") + size).over(Window.partitionBy("k", "th").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select("k", "th", F.lower("x.word").alias("term"), (end - size).cast("int").alias("s"), end.cast("int").alias("e"))
+
+
+def disclosures(docs: DataFrame, met: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(grp, term, disclosure) of the words that disclose a group's entities, over the whole corpus."""
+    counts = met.groupBy("grp", "df_ent", "term").agg(F.count("*").alias("co"))
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0)))
-    df_term = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
-    found = met.join(df_term, "term").join(entities, "ent")
-    found = found.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))  # one row
+    df_term = rows.select(F.explode_outer(_terms("t")).alias("term")).where(F.length("term") >= LEAST_TERM).groupBy("term").agg(F.count("*").alias("df_term"))
+    found = counts.join(df_term, "term").crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))  # one row
     content = F.log(F.col("n") / F.col("df_ent"))
     pmi = F.log(F.col("co") * F.col("n") / (F.col("df_term") * F.col("df_ent")))
     found = found.where(F.col("df_ent") < F.col("n")).withColumn("disclosure", pmi / content)
-    return found.where(F.col("disclosure") >= GENERALISE).select("ent", "term", "disclosure")
+    return found.where(F.col("disclosure") >= GENERALISE).select("grp", "term", "disclosure")
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -144,13 +156,17 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "pii")
     spans = _spans(docs, key, text, scratch)
-    near = scratch.save(_near(spans), "near")
-    found = disclosures(docs, near, key, text)
-    hit = near.join(found, ["ent", "term"]).groupBy("k", "th", "s", "e").agg((F.max("disclosure") >= REMOVE).alias("remove"))
-    terms = hit.groupBy("k", "th").agg(F.array_sort(F.collect_list(F.struct("s", "e", "remove"))).alias("terms"))
-    terms = terms.select(F.col("k").alias("tk"), F.col("th").alias("tth"), "terms")
-    out = spans.drop("near").join(terms, F.col("k").eqNullSafe(F.col("tk")) & (F.col("th") == F.col("tth")), "left").drop("tk", "tth")
-    return out.withColumnsRenamed({"k": key, "th": "text_hash"})
+    held = spans.where("t IS NOT NULL").select("k", "th", "ents", "t")
+    met = scratch.save(_met(held), "met")
+    found = disclosures(docs, met, key, text)
+    hit = scratch.save(met.join(found, ["grp", "term"]).groupBy("k", "th", "term").agg((F.max("disclosure") >= REMOVE).alias("remove")), "hit")
+    words = _words(held).where(F.length("term") >= LEAST_TERM)
+    marked = _by_document(words, hit.withColumnRenamed("term", "of")).where("term = of")
+    terms = marked.groupBy("k", "th").agg(F.array_sort(F.collect_set(F.struct("s", "e", "remove"))).alias("terms"))
+    out = _by_document(spans.drop("ents", "t"), terms, "left")
+    inside = lambda kind, w: F.coalesce(F.exists(kind, lambda x: (x["s"] < w["e"]) & (x["e"] > w["s"])), F.lit(False))
+    apart = lambda w: ~(inside("email", w) | inside("ip", w) | inside("card", w) | inside("phone", w))
+    return out.withColumn("terms", F.filter("terms", apart)).withColumnsRenamed({"k": key, "th": "text_hash"})
 
 
 def span_text(kinds: dict[str, str]) -> Column:
