@@ -639,6 +639,14 @@ def transcript_head(spark: SparkSession, d: str) -> DataFrame:
     return turns.numbered_transcript(w, D)
 
 
+@query(f"""WITH {DW}, k AS (SELECT doc_id, string_agg('[' || idx || '] ' || t, ' ' ORDER BY idx) AS l, idx // 10 AS sent FROM dw GROUP BY doc_id, idx // 10)
+SELECT doc_id, string_agg('[H] ' || l, chr(10) ORDER BY sent) AS transcript FROM k GROUP BY doc_id""")
+def transcript_numbered(spark: SparkSession, d: str) -> DataFrame:
+    """Every word of each document as a numbered transcript."""
+    w = doc_words(spark, d).withColumns({"sent": F.floor(F.col("idx") / 10), "spk": F.lit("H")})
+    return turns.numbered_transcript(w, D)
+
+
 # ---- entities
 @query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 n AS (SELECT DISTINCT a.vec_id, b.label AS other FROM e a JOIN e b ON a.label <> b.label AND list_inner_product(a.v, b.v) / ((sqrt(list_inner_product(a.v, a.v)) + 1e-9) * (sqrt(list_inner_product(b.v, b.v)) + 1e-9)) > 0.3),
