@@ -113,6 +113,12 @@ def test_repeated_texts_of_a_host_are_template(spark, rows):
     assert html_extract.extract(df.limit(0)).collect() == []
 
 
+def test_repeated_texts_inside_articles_are_template(spark):
+    page = "<body><h2>Site</h2><article><p>Read all our offers</p><p>{0}</p><div class=box>Join us today</div><p>{0} ends</p></article><div>{0} out</div></body>"
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", page.format(f"story {i}")) for i in range(6)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == {i: f"story {i}\nstory {i} ends" for i in range(6)}
+
+
 def test_pages_of_the_tables_give_their_articles(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in entry.op9_html_extraction(spark, SF).collect():

@@ -1,12 +1,13 @@
 """HTML main text by equivalence classes of tokens over the pages of a host.
 
-Tokens are tags with their class and id, and the texts outside of articles. Tokens of one host that occur on the same
+Tokens are tags with their class and id, and texts. Tokens of one host that occur on the same
 pages equally often form an equivalence class; each class is named by sums of page hashes, so it is found by grouped sums
 and no task holds a host. Classes of two or more tokens on at least half of the host's pages (three or more) make the
 host's template; on a page, a class counts only as far as its tokens stand in the class's order, so that what it
 encloses nests. What stands between template tokens are the slots; template texts are dropped, slots of menus, headers,
 footers, adverts, forms, scripts and comments are left out by the names of their elements, and the rest is the main text.
-Where a page has articles, its text is what the articles hold; hosts with too few pages have element names alone.
+Where a page has articles, its text is what the articles hold, less the template; hosts with too few pages have element
+names alone.
 """
 
 from __future__ import annotations
@@ -129,12 +130,12 @@ def _token(text: str) -> int:
 
 
 def page_tokens(html: str) -> list[int]:
-    """The page's tokens in order: tags outside of articles, and articles' own tags, and texts outside of articles."""
+    """The page's tokens in order: tags and texts, those of articles included."""
     out = []
-    for kind, value, article, _ in walk(html):
-        if kind == "tag" and (not article or "article" in value or "main" in value):
+    for kind, value, _, _ in walk(html):
+        if kind == "tag":
             out.append(_token(value))
-        elif kind == "text" and not article and (t := _SPACE.sub(" ", value).strip()):
+        elif kind == "text" and (t := _SPACE.sub(" ", value).strip()):
             out.append(_token("#" + t))
     return out
 
@@ -155,7 +156,7 @@ def main_text(html: str, template: dict[int, tuple[int, float]]) -> str:
         if kind == "break":
             flush()
         elif kind == "text" and not out:
-            found = None if article or not template else template.get(_token("#" + _SPACE.sub(" ", value).strip()))
+            found = None if not template else template.get(_token("#" + _SPACE.sub(" ", value).strip()))
             if found and found[1] >= place.get(found[0], -1.0):  # in its class's order: template, not content
                 place[found[0]] = found[1]
                 continue
