@@ -119,6 +119,14 @@ def test_repeated_texts_inside_articles_are_template(spark):
     assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == {i: f"story {i}\nstory {i} ends" for i in range(6)}
 
 
+def test_copies_of_a_page_are_not_template(spark):
+    one, other = "<body><h1>A story</h1><div>It was told</div></body>", "<body><h1>Else</h1><div>Not told</div></body>"
+    same = "<body><h1>Shop</h1><article><p>All of it</p><p>repeats</p></article><i>{}</i></body>"
+    data = [(i, "http://c.example/x", one) for i in range(4)] + [(9, "http://c.example/y", other)] + [(20 + i, "http://s.example/", same.format(i)) for i in range(4)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got == {i: "A story\nIt was told" for i in range(4)} | {9: "Else\nNot told"} | {20 + i: "All of it\nrepeats" for i in range(4)}
+
+
 def test_pages_of_the_tables_give_their_articles(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in entry.op9_html_extraction(spark, SF).collect():

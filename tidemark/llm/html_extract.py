@@ -3,11 +3,11 @@
 Tokens are tags with their class and id, and texts. Tokens of one host that occur on the same
 pages equally often form an equivalence class; each class is named by sums of page hashes, so it is found by grouped sums
 and no task holds a host. Classes of two or more tokens on at least half of the host's pages (three or more) make the
-host's template; on a page, a class counts only as far as its tokens stand in the class's order, so that what it
-encloses nests. What stands between template tokens are the slots; template texts are dropped, slots of menus, headers,
-footers, adverts, forms, scripts and comments are left out by the names of their elements, and the rest is the main text.
-Where a page has articles, its text is what the articles hold, less the template; hosts with too few pages have element
-names alone.
+host's template, where copies of a page count once; on a page, a class counts only as far as its tokens stand in the
+class's order, so that what it encloses nests. What stands between template tokens are the slots; template texts are
+dropped, slots of menus, headers, footers, adverts, forms, scripts and comments are left out by the names of their
+elements, and the rest is the main text. Where a page has articles, its text is what the articles hold, less the template;
+hosts with too few pages have element names alone.
 """
 
 from __future__ import annotations
@@ -141,7 +141,10 @@ def page_tokens(html: str) -> list[int]:
 
 
 def main_text(html: str, template: dict[int, tuple[int, float]]) -> str:
-    """The text of the slots that are neither left out nor template; template: token -> (class, place in its class)."""
+    """The text of the slots that are neither left out nor template; template: token -> (class, place in its class).
+
+    What covers all the text of a page, or of its articles, is not taken as template there."""
+    dropped: set[bool] = set()
     blocks: dict[bool, list[str]] = {True: [], False: []}
     held: dict[bool, list[str]] = {True: [], False: []}
     place: dict[int, float] = {}
@@ -159,9 +162,12 @@ def main_text(html: str, template: dict[int, tuple[int, float]]) -> str:
             found = None if not template else template.get(_token("#" + _SPACE.sub(" ", value).strip()))
             if found and found[1] >= place.get(found[0], -1.0):  # in its class's order: template, not content
                 place[found[0]] = found[1]
+                dropped.add(article)
                 continue
             held[article].append(value)
     flush()
+    if not blocks[True] and (True in dropped or not blocks[False] and dropped):
+        return main_text(html, {})
     return "\n".join(blocks[True] or blocks[False])
 
 
@@ -188,6 +194,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "token", "hi", "lo", "place"])
 
     src = pages.select(_host(F.col(url)).alias("host"), F.col(html).cast("string").alias("html"))
+    src = src.withColumn("page", F.xxhash64("html")).dropDuplicates(["host", "page"]).select("host", "html")
     seen = src.mapInArrow(run, "host string, token long, hi long, lo long, place double")
     vectors = seen.groupBy("host", "token").agg(F.sum("hi").alias("hi"), F.sum("lo").alias("lo"), F.count("*").alias("support"), F.avg("place").alias("place"))
     hosts = src.groupBy("host").agg(F.count("*").alias("pages"))
