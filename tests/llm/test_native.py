@@ -47,6 +47,18 @@ def test_chat_sums_blocks_and_renders_parts(spark):
     assert "".join(r.chat for r in got) == "".join(f"<|im_start|>user\nt{i}<|im_end|>\n" for i in range(1300))
 
 
+def test_chat_tells_nulls_and_separators_apart(spark):
+    lines = [(None, "x"), ("\x00", "x"), ("-", "x"), ("", "x"), ("a\x1fb", "c"), ("a", "b\x1fc"), ("a", None), ("a", "\x00"), ("1:a", "b"), ("a", "1:b")]
+    rows = [(i, 0, r, x) for i, (r, x) in enumerate(lines)] + [(50, 0, "u", "long " * 200_000), (51, 0, "u", "long " * 200_000), (51, 1, "u", "")]
+    schema = "conv_id long, turn long, role string, text string"
+    assert {r.conv_id for r in chat.maximal(spark.createDataFrame(rows, schema)).collect()} == {*range(len(lines)), 51}
+    loose = [(1, None, "u", f"t{i}") for i in range(700)] + [(1, 3, "u", "last"), (1, 3, "u", "also"), (1, -2, "u", "early"), (1, 3, "u", "last")]
+    got = sorted(chat.format_chats(spark.createDataFrame(loose, schema)).collect(), key=lambda r: r.part)
+    said = [x.split("\n")[1].split("<")[0] for x in "".join(r.chat for r in got).split("<|im_start|>")[1:]]
+    assert [(r.part, r.n_turns) for r in got] == [(0, 703), (1, 703), (2, 703)] and sorted(said[:700]) == sorted(f"t{i}" for i in range(700))
+    assert said[700] == "early" and set(said[701:]) == {"last", "also"}
+
+
 def test_masks_survive_every_pair_of_substitutions():
     places = [{o + s for o in m} for m in decontam.MASKS for s in range(decontam.WINDOW - max(m))]
     for bad in itertools.combinations(range(decontam.WINDOW), decontam.SUBSTITUTIONS):

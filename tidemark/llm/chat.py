@@ -4,8 +4,9 @@ Chat logs often hold a conversation many times, each time with the turns so far.
 that prefix; a conversation whose whole hash is an inner prefix of another one is dropped by an anti-join, and of equal
 conversations the least id stays. What is left is rendered.
 
-The rolling hash is a running sum of four 32-bit lanes of each turn's hash with its position, so a conversation of any
-length is summed in blocks and the blocks' sums are then added up: no task needs a whole conversation.
+The rolling hash is a running XOR of two 64-bit hashes of each turn's digest and position. A conversation is cut in blocks
+by turn number; running values inside a block get those of the blocks before it, so no task needs a whole conversation.
+Digests are shuffled for all of this; texts are shuffled once, by block, for the rendering.
 """
 
 from __future__ import annotations
@@ -13,64 +14,92 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turn numbers that one block of the running sums spans, and turns that one rendered part holds.
-BLOCK, PART_TURNS = 512, 256
-LANES = ("l0", "l1", "l2", "l3")
-
+from .common import Scratch
 
-def _lanes(*cols: Column) -> list[Column]:
-    digest = F.sha2(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("\x00")) for c in cols)), 256)
-    return [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(len(LANES))]
+#: Turn numbers that one block spans, and turns that one rendered part holds.
+BLOCK, PART_TURNS = 512, 256
+_NONE = -(1 << 60)
+_LANES = ("x0", "x1")
+
+
+def _turns(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """(c, block, turn, d0, d1, line): c wraps the id so that null ids are equal; d0 and d1 are a digest of role and text in
+    which null, empty and shifted borders differ; turns without a number are dealt to blocks by digest, before all others."""
+    marked = lambda x: F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-"))
+    t = turns.select(F.struct(F.col(conv).alias("id")).alias("c"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("r"), F.col(text).cast("string").alias("x"))
+    digest = F.sha2(F.concat(marked(F.col("r")), marked(F.col("x"))), 256)
+    half = lambda i: F.conv(F.substring(digest, 1 + 16 * i, 16), 16, -10).cast("long")
+    t = t.withColumns({"d0": half(0), "d1": half(1)})
+    block = F.when(F.col("turn").isNull(), F.lit(_NONE) + F.shiftright("d0", 54)).otherwise(F.floor(F.col("turn") / BLOCK))
+    line = F.concat(F.lit("<|im_start|>"), F.coalesce("r", F.lit("unknown")), F.lit("\n"), F.coalesce("x", F.lit("")), F.lit("<|im_end|>\n"))
+    return t.select("c", block.alias("block"), "turn", "d0", "d1", line.alias("line"))
 
 
-def _running(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
-    """Adds running sums over the turns of a conversation: within each block, plus all blocks before."""
-    order = [F.col("turn").asc_nulls_first(), F.col("digest")]
-    inner = Window.partitionBy("c", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def _prefixes(t: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(c, pos, n, x0, x1): the rolling hash after each turn; and (c, block, off, n): the turns before each block."""
     before = Window.partitionBy("c").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = df.groupBy("c", "block").agg(*(F.sum(x).alias(f"{n}_sum") for n, x in sums.items()))
-    blocks = blocks.select(F.col("c").alias("bc"), F.col("block").alias("bb"), *(F.coalesce(F.sum(f"{n}_sum").over(before), F.lit(0)).alias(f"{n}_off") for n in sums))
-    local = df.withColumns({f"{n}_in": F.sum(x).over(inner) for n, x in sums.items()})
-    joined = local.join(blocks, F.col("c").eqNullSafe(F.col("bc")) & (F.col("block") == F.col("bb")))
-    return joined.select(*df.columns, *((F.col(f"{n}_in") + F.col(f"{n}_off")).alias(n) for n in sums))
+    inner = Window.partitionBy("c", "block").orderBy(F.col("turn").asc_nulls_first(), "d0", "d1").rowsBetween(Window.unboundedPreceding, 0)
+    own = t.select("c", "block", "turn", "d0", "d1").repartition("c", "block").dropDuplicates()  # the one exchange of digests
+    blocks = own.groupBy("c", "block").agg(F.count("*").alias("size"))
+    blocks = blocks.select("c", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("off"), F.sum("size").over(Window.partitionBy("c")).alias("n"))
+    blocks = scratch.save(blocks, "blocks")
+    placed = own.withColumn("in", F.row_number().over(inner)).join(blocks, ["c", "block"]).withColumn("pos", F.col("in") + F.col("off"))
+    xor = {x: F.bit_xor(F.xxhash64(F.lit(i), "pos", "d0", "d1")).over(inner) for i, x in enumerate(_LANES)}
+    placed = scratch.save(placed.withColumns(xor).select("c", "block", "pos", "n", *_LANES), "placed")
+    # only blocks with turns before them need the lanes of those
+    ends = placed.groupBy("c", "block").agg(F.max("n").alias("n"), F.count("*").alias("size"), *(F.max_by(x, "pos").alias(x) for x in _LANES)).where("size < n")
+    rest = ends.select(F.col("c"), "block", *(F.bit_xor(x).over(before).alias(f"{x}_off") for x in _LANES))
+    found = placed.join(rest, ["c", "block"], "left")
+    return found.select("c", "pos", "n", *(F.col(x).bitwiseXOR(F.coalesce(f"{x}_off", F.lit(0))).alias(x) for x in _LANES)), blocks
+
+
+def _maximal(prefixes: DataFrame) -> DataFrame:
+    """(c, n_turns, n_logs)."""
+    whole = prefixes.where("pos = n").groupBy("pos", *_LANES).agg(F.min("c").alias("c"), F.count("*").alias("n_logs"))
+    inner = prefixes.where("pos < n").select("pos", *_LANES).distinct()
+    return whole.join(inner, ["pos", *_LANES], "left_anti").select("c", F.col("pos").alias("n_turns"), "n_logs")
 
 
 def maximal(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conversation id, n_turns, n_logs): conversations that are no prefix of a longer one.
 
     A turn logged twice with the same number, role and text counts once; turns of one number are ordered by a hash of
-    role and text. Of equal conversations the least id stays and n_logs says how many there were. Null ids form one
-    conversation, null numbers come first, null roles and texts are values of their own.
+    role and text, and meet in one task. Of equal conversations the least id stays (null before all) and n_logs says how many
+    there were. Null ids form one conversation, null numbers come first, null roles and texts are values of their own. An
+    empty table gives an empty one; other columns play no part.
     """
-    t = turns.select(F.col(conv).alias("c"), F.col(turn).cast("long").alias("turn"), F.sha2(F.concat_ws("\x1f", F.coalesce(F.col(role), F.lit("\x00")), F.coalesce(F.col(text), F.lit("\x00"))), 256).alias("digest")).distinct()
-    t = t.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK))
-    t = _running(t, {"pos": F.lit(1)})
-    lanes = dict(zip(LANES, _lanes(F.col("pos"), F.col("digest"))))
-    t = _running(t, lanes)
-    total = t.groupBy("c").agg(F.max("pos").alias("n")).withColumnRenamed("c", "tc")
-    t = t.join(total, F.col("c").eqNullSafe(F.col("tc"))).withColumn("prefix", F.concat_ws("-", "pos", *LANES))
-    whole = t.where("pos = n").groupBy("prefix").agg(F.min("c").alias("c"), F.max("n").alias("n_turns"), F.count("*").alias("n_logs"))
-    inner = t.where("pos < n").select("prefix").distinct()
-    return whole.join(inner, "prefix", "left_anti").select(F.col("c").alias(conv), "n_turns", "n_logs")
+    prefixes, _ = _prefixes(_turns(turns, conv, turn, role, text), Scratch(turns.sparkSession, "chat"))
+    return _maximal(prefixes).select(F.col("c.id").alias(conv), "n_turns", "n_logs")
 
 
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", part_turns: int = PART_TURNS) -> DataFrame:
-    """(conversation id, part, n_turns, n_logs, chat): maximal conversations, rendered.
+    """(conversation id, part, n_turns, n_logs, chat): maximal conversations (as `maximal` says), rendered.
 
     A turn is `<|im_start|>role`, a line end, the text, `<|im_end|>` and a line end; a null role is `unknown`, a null
     text empty. A chat of more than 256 turns comes in several parts (0, 1, ...) whose texts follow one another, so no
     row gathers an unbounded conversation. Other columns are dropped.
     """
-    kept = maximal(turns, conv, turn, role, text)
-    kept = kept.select(F.col(conv).alias("kc"), "n_turns", "n_logs")
-    t = turns.select(F.col(conv).alias("c"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("r"), F.col(text).alias("x")).distinct()
-    t = t.join(kept, F.col("c").eqNullSafe(F.col("kc")))
-    t = t.withColumn("digest", F.sha2(F.concat_ws("\x1f", F.coalesce("r", F.lit("\x00")), F.coalesce("x", F.lit("\x00"))), 256))
-    t = _running(t.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK)), {"pos": F.lit(1)})
-    line = F.concat(F.lit("<|im_start|>"), F.coalesce("r", F.lit("unknown")), F.lit("\n"), F.coalesce("x", F.lit("")), F.lit("<|im_end|>\n"))
-    parts = t.withColumn("part", F.floor((F.col("pos") - 1) / part_turns)).groupBy("c", "part", "n_turns", "n_logs")
-    lines = F.array_sort(F.collect_list(F.struct("pos", line.alias("line"))))
-    return parts.agg(F.concat_ws("", F.transform(lines, lambda s: s["line"])).alias("chat")).select(F.col("c").alias(conv), "part", "n_turns", "n_logs", "chat")
+    scratch = Scratch(turns.sparkSession, "chat")
+    t = _turns(turns, conv, turn, role, text)
+    prefixes, blocks = _prefixes(t, scratch)
+    kept = scratch.save(_maximal(prefixes).join(blocks.select("c", "block", "off"), "c"), "kept")
+
+    # the lines of a block, cut where the parts of its conversation are; most parts lie within one block
+    lines = t.select("c", "block", "turn", "d0", "d1", "line").repartition("c", "block").groupBy("c", "block")
+    lines = lines.agg(F.sort_array(F.collect_set(F.struct("turn", "d0", "d1", "line"))).alias("lines"))
+    cut = lines.join(kept, ["c", "block"])
+    end = F.col("off") + F.size("lines")
+    first = lambda p: F.greatest(p * part_turns, F.col("off"))
+    size = lambda p: F.least((p + 1) * part_turns, end) - first(p)
+    chat = lambda p: F.concat_ws("", F.transform(F.slice("lines", (first(p) - F.col("off") + 1).cast("int"), size(p).cast("int")), lambda x: x["line"]))
+    parts = F.sequence(F.floor(F.col("off") / part_turns), F.floor((end - 1) / part_turns))
+    piece = F.transform(parts, lambda p: F.struct(p.alias("part"), first(p).alias("first"), size(p).alias("size"), chat(p).alias("chat")))
+    cut = cut.select("c", "n_turns", "n_logs", F.explode_outer(piece).alias("p")).select("c", "n_turns", "n_logs", "p.*")
+    whole = F.col("size") == F.least(F.lit(part_turns), F.col("n_turns") - F.col("part") * part_turns)
+    columns = ["c", "part", "n_turns", "n_logs", "chat"]
+    broken = cut.where(~whole).groupBy("c", "part", "n_turns", "n_logs")
+    broken = broken.agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("first", "chat"))), lambda x: x["chat"])).alias("chat"))
+    return cut.where(whole).select(*columns).unionByName(broken.select(*columns)).withColumn("c", F.col("c.id")).withColumnRenamed("c", conv)
 
 
 ORACLE_SQL = r"""
