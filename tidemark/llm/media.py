@@ -111,12 +111,17 @@ def write_media(df: DataFrame, scratch: Scratch, key: str = "doc_id", text: str
     are payloads of 64 zero bytes. Equal payloads have one digest; all their rows name the same first location, and a
     shard holds a payload once however often it is repeated. Other columns are dropped.
     """
-    rows, first = _write(df, scratch, key, text, shard_bytes)
-    return rows.join(first, "digest").select(key, "digest", "shard", "offset", "length", "n_bytes")
+    rows, index = _write(df, scratch, key, text, shard_bytes)
+    return rows.join(_first(index), "digest").select(key, "digest", "shard", "offset", "length", "n_bytes")
+
+
+def _first(index: DataFrame) -> DataFrame:
+    """(digest, shard, offset, length): each payload's first location."""
+    return index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
 
 
 def _write(df: DataFrame, scratch: Scratch, key: str, text: str, shard_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(key, digest, n_bytes) of each row, and (digest, shard, offset, length) of each payload's first location."""
+    """(key, digest, n_bytes) and (digest, shard, offset, length) of each row, the location being that in its task's shard."""
     root = scratch.path("shards")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,8 +158,7 @@ def _write(df: DataFrame, scratch: Scratch, key: str, text: str, shard_bytes: in
     src = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     kind = src.schema["k"].dataType.simpleString()
     index = scratch.save(src.mapInArrow(run, f"k {kind}, {INDEX}"), "index")
-    first = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
-    return index.select(F.col("k").alias(key), "digest", "n_bytes"), scratch.save(first, "first")
+    return index.select(F.col("k").alias(key), "digest", "n_bytes"), index.select("digest", "shard", "offset", "length")
 
 
 def _members(index: DataFrame) -> DataFrame:
@@ -185,9 +189,10 @@ def read_metadata(index: DataFrame) -> DataFrame:
 
 
 def read_features(index: DataFrame) -> DataFrame:
-    """(digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) from the stored bytes.
+    """(digest, shard, offset, length, payload_bytes, tail_crc32, media_digest, feature) from the stored bytes.
 
-    payload_bytes comes from the header; the samples are hashed anew, and a mismatch with their address raises.
+    payload_bytes comes from the header; the samples are hashed anew, and a mismatch with their address raises, so digest
+    is also what was read back.
     """
 
     def one(files: dict, r: dict) -> tuple:
@@ -195,27 +200,36 @@ def read_features(index: DataFrame) -> DataFrame:
         width, height, _ = png_header(f.read_at(HEADER, r["offset"]))
         media = f.read_at(r["length"], r["offset"])
         samples = png_samples(media)
-        digest = hashlib.sha256(samples)
-        if digest.digest() != r["digest"] or len(samples) != width * height:
+        if hashlib.sha256(samples).digest() != r["digest"] or len(samples) != width * height:
             raise ValueError(f"{r['shard']} is damaged at {r['offset']}")
-        return r["digest"], width * height, digest.hexdigest(), zlib.crc32(samples[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)
+        return width * height, zlib.crc32(samples[-WIDTH:]), hashlib.sha256(media).digest(), feature(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: dict = {}
-        kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.string())
+        names = [*("digest", "shard", "offset", "length"), "payload_bytes", "tail_crc32", "media_digest", "feature"]
         for b in batches:
             if b.num_rows:
                 rows = [one(files, r) for r in b.to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=names)
 
-    return _members(index).mapInArrow(run, "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return _members(index).mapInArrow(run, "digest binary, shard string, offset long, length long, payload_bytes long, tail_crc32 long, media_digest binary, feature string")
 
 
 def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stores every text and returns, per row, its location and what the stored bytes say about it."""
+    """(key, n_bytes, shard, offset, length, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature):
+    stores every text and returns, a row for each input row, its location and what the stored bytes say about it.
+
+    Null and empty texts are payloads of 64 zero bytes; equal payloads share all values; repeated rows and null keys are rows
+    like others; an empty table gives an empty one. Other columns are dropped, so their names cannot clash.
+    """
     scratch = Scratch(df.sparkSession, "media")
-    rows, first = _write(df, scratch, key, text, SHARD_BYTES)
-    # one join of the rows with all that is known of a payload: a digest that many rows share can be split
-    known = scratch.save(first.join(read_features(first), "digest"), "known")
-    return rows.join(known, "digest")
+    rows, index = _write(df, scratch, key, text, SHARD_BYTES)
+    # one join of the rows with all that is known of a payload: a digest that many rows share can be split. Digests stay
+    # binary until the end, and the location rides along with the read instead of being joined to it again.
+    known = scratch.save(read_features(_first(index)), "known")
+    hexed = lambda c: F.lower(F.hex(c))
+    return rows.join(known, "digest").select(
+        key, "n_bytes", "shard", "offset", "length", "payload_bytes", hexed("digest").alias("payload_sha256"), "tail_crc32",
+        F.col("length").alias("media_bytes"), hexed("media_digest").alias("media_sha256"), "feature",
+    )
