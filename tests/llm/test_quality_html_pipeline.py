@@ -119,6 +119,27 @@ def test_repeated_texts_inside_articles_are_template(spark):
     assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == {i: f"story {i}\nstory {i} ends" for i in range(6)}
 
 
+def test_slots_are_found_without_telling_names(spark):
+    words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    page = "<html><body><div class=k1>{a} here</div><div class=k2><div class=k3><h2>{b}</h2><p>{c}</p><p>{d} and {e}</p></div></div><div class=k4>Ask {f}</div></body></html>"
+    parts = [dict(a=words(i, 6), b=f"Title {i}", c=words(i + 50, 60), d=words(i + 90, 40), e=i, f=words(i + 200, 5)) for i in range(6)]
+    df = spark.createDataFrame([(i, f"http://q.example/{i}", page.format(**x)) for i, x in enumerate(parts)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df.union(df.where("page_id = 2"))).collect()}
+    assert got == {i: "\n".join((x["b"], x["c"], f"{x['d']} and {i}")) for i, x in enumerate(parts)}
+    found = html_extract.templates(html_extract.parse(df))
+    assert found.where("parent IS NULL").count() == 0 and found.where("kind = 1").count() == 6
+
+
+def test_article_texts_are_dropped_for_the_listed_reasons_only():
+    page = "<article><h1>T</h1><p>x <math>a+b</math> <object>old</object><audio>no sound</audio> &<b>lt;</b> y<!-- z -->!</p><div class='related work'>see also</div><table><tr><td>c</td></tr></table><script>1<2</script><form>Name <select><option>o</select></form><p>end<p>" + "long " * 50_000 + "</article>tail"
+    got = html_extract.main_text(page, {})
+    assert got == "T\nx a+b oldno sound &lt; y!\nsee also\nc\nend\n" + ("long " * 50_000).strip()
+    one = html_extract.Page("<body><p>one</p><p>two</p></body>")
+    tokens = {x[1]: (7, i) for i, x in enumerate(one.blocks)}
+    assert html_extract.main_text("<body><p>one</p><p>two</p><p>three</p></body>", tokens) == "three"
+    assert html_extract.main_text("<body><p>two</p><p>one</p></body>", tokens) == "one"  # out of the class's order
+
+
 def test_copies_of_a_page_are_not_template(spark):
     one, other = "<body><h1>A story</h1><div>It was told</div></body>", "<body><h1>Else</h1><div>Not told</div></body>"
     same = "<body><h1>Shop</h1><article><p>All of it</p><p>repeats</p></article><i>{}</i></body>"
