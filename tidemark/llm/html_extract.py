@@ -322,7 +322,8 @@ def templates(parsed: DataFrame) -> DataFrame:
     )
     hosts = parsed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     often = vectors.where(F.col("support") >= LEAST_PAGES).join(hosts, "host").where(2 * F.col("support") >= F.col("pages"))
-    often = often.withColumn("class", F.xxhash64("hi", "lo", "support"))
+    # a table, as the vectors are used twice
+    often = Scratch(parsed.sparkSession, "html").save(often.withColumn("class", F.xxhash64("hi", "lo", "support")), "often")
     valid = often.groupBy("host", "class").agg(F.count("*").alias("size")).where(F.col("size") >= LEAST_TOKENS).select("host", "class")
     kind = F.when(F.col("most") == 1, F.col("kind")).otherwise(F.lit(0)).cast("int")
     return often.join(valid, ["host", "class"], "left_semi").select("host", "token", "class", "place", "parent", "chars", "heads", kind.alias("kind"))
