@@ -68,7 +68,7 @@ def test_masks_survive_every_pair_of_substitutions():
 def test_decontamination_by_brute_force(spark):
     rnd = random.Random(4)
     vocab = [f"w{i}" for i in range(400)]
-    items = [(i, " ".join(rnd.choice(vocab) for _ in range(n))) for i, n in enumerate([40, 25, 13, 12, 7, 6, 5, 4, 1])] + [(9, None), (10, "")]
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(n))) for i, n in enumerate([40, 25, 13, 12, 7, 6, 5, 4, 1])] + [(9, None), (10, ""), (11, "--")]
     docs = []
     for k in range(120):
         words = [rnd.choice(vocab) for _ in range(rnd.randint(0, 60))]
@@ -79,23 +79,23 @@ def test_decontamination_by_brute_force(spark):
             part[rnd.randrange(len(part))] = "zz"
         at = rnd.randint(0, len(words))
         docs.append((k % 100, " ".join([*words[:at], *part, *words[at:]]).upper()))
-    docs += [(200, None), (201, ""), (None, items[0][1])]
+    docs += [(200, None), (201, ""), (None, items[0][1]), (202, " ".join(vocab) * 90 + " " + items[1][1])]
 
     want = {}
     for k, t in docs:
         d = re.findall(r"\w+", (t or "").lower())
         for i, it in items:
             b = (it or "").split()
-            if len(b) < decontam.LEAST_WORDS:
+            if not b:
                 continue
             w = min(decontam.WINDOW, len(b))
-            need = w - (decontam.SUBSTITUTIONS if len(b) >= decontam.WINDOW else 0)
+            need = w - w * 2 // 13
             for shift in range(-len(b), len(d)):
                 same = [0 <= j + shift < len(d) and d[j + shift] == b[j] for j in range(len(b))]
                 if any(sum(same[s : s + w]) >= need for s in range(len(b) - w + 1)):
                     want[k, t, i] = max(want.get((k, t, i), 0), sum(same))
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(k, t, 0, 1) for k, t in docs], "doc_id long, text string, item_id int, bad_key int")
+    bench = spark.createDataFrame([(i, t, 5) for i, t in items], "item_id long, text string, doc_id int")
     keys = {(r.doc_id, r.h): r.text for r in df.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()}
     for most in (decontam.BROADCAST_WORDS, 0):
         got = {(r.doc_id, keys[r.doc_id, r.text_hash], r.item_id): r.matched for r in decontam.contaminated(df, bench, broadcast_words=most).collect()}
@@ -115,6 +115,16 @@ def test_license_scan_finds_edited_notices_and_leaves_others(spark):
     assert got[2, "gpl-header"].matched < got[2, "gpl-header"].shingles
 
 
+def test_license_scan_of_odd_rows_and_by_shuffles(spark):
+    mit = license_scan.NOTICES["mit"]
+    rows = [(1, f"{mit} All rights reserved.", 0), (1, "All rights reserved, and so on", 0), (None, mit, 0), (None, f"x {mit} {mit}", 0), (None, mit, 0), (7, "word " * 100_000 + mit, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, license int")
+    got = sorted(((r.doc_id, r.license, r.word) for r in license_scan.scan(df, license_scan.notices(spark)).collect()), key=repr)
+    assert got == sorted([(1, "mit", 0), (1, "all-rights-reserved-short", 5), (1, "all-rights-reserved-short", 0), (None, "mit", 0), (None, "mit", 1), (7, "mit", 100_000)], key=repr)
+    assert sorted(((r.doc_id, r.license, r.word) for r in license_scan.scan(df, license_scan.notices(spark), broadcast_words=0).collect()), key=repr) == got
+    assert license_scan.scan(df.limit(0), license_scan.notices(spark)).collect() == license_scan.scan(df, license_scan.notices(spark).limit(0)).collect() == []
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -168,7 +178,7 @@ def test_words_beside_rare_entities_disclose_them(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert clean[0] == "Ask [REMOVED] the plumber at [EMAIL] or [REMOVED]"
-    assert clean[1] == clean[2] == "[REMOVED] calls from [IP] at will"
+    assert clean[1] == clean[2] == "[REMOVED] calls from [IP] [WORD] will"  # words of any length count: 3 of 63 rows have "at"
     assert all(clean[k] == t for k, t in rows if k >= 10)
 
 
@@ -198,6 +208,16 @@ def test_disclosures_by_brute_force(spark):
     assert want and {(r.doc_id, x.s, x.e): x.remove for r in pii.find(df).collect() for x in r.terms or []} == want
 
 
+def test_generalised_words_keep_their_class_and_no_column_is_lost(spark):
+    far = "the plumber calls or will ask from here "
+    rows = [(1, f"Zo X7 42 {far} joe@site.org", 1, 2, 3), (2, f"Zo X7 42 {far} joe@site.org", 1, 2, 3), (3, "Zo X7 42", 1, 2, 3)] + [(10 + i, far, i, i, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sk int, found_key int, __spans int")
+    got = pii.sanitise(df)
+    assert got.columns == df.columns
+    clean = {r.doc_id: tuple(r)[1:] for r in got.collect()}
+    assert clean[1] == (f"[WORD] [CODE] [NUMBER] {far} [EMAIL]", 1, 2, 3) and clean[3] == ("Zo X7 42", 1, 2, 3) and clean[10] == (far, 0, 0, 0)
+
+
 def test_sanitise_joins_overlaps_and_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, "x 1.2.3.4@h.de +1 (555) 123-4567 é", "s"), (1, None, "t")], "doc_id long, text string, source string")
     got = {r.source: r.text for r in pii.sanitise(df).collect()}

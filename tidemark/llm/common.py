@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Parquet tables in the shared folder that cut lineage: a lost executor rereads them and recomputes nothing above.
 
-    `drop` removes a table that no later step reads; `sweep` (at the driver's exit) removes the rest.
+    `drop` removes a table that no later step reads, with its folder; `sweep` removes all of them once the result has been written.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -48,9 +48,11 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            for file in df.inputFiles():
-                self._delete(file)
+        for folder in {f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()}:
+            self._delete(folder)
+
+    def sweep(self) -> None:
+        self._delete(self.root)
 
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
@@ -58,6 +60,17 @@ class Scratch:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as the table's columns require (case aside, as Spark compares)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def read_driver_file(path: str) -> bytes:
     """A small file on the driver (a vocabulary), refused beyond the broadcast bound."""
     with open(path, "rb") as f:

@@ -1,9 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
 A document is contaminated by an item if some 13 consecutive words of the item stand in it in order with at most 2 of
-them substituted. Masks pick 6 of up to 11 neighbouring words and ignore the others; MASKS leave, for every placing of 2
-substitutions in 13 words, at least one mask position untouched (a test goes through all of them). Hashes under the
-masks are joined; around each hit the words are compared one by one.
+them substituted. Shorter items must stand whole, with the same share of substitutions: one of 7 to 12 words, none of fewer. Masks pick 6 of up to 11 neighbouring words and ignore the others; MASKS leave, for every placing of 2
+substitutions in 13 words, at least one mask position untouched (a test goes through all of them); of a shorter item, its first
+or its last half is untouched. Hashes under the masks are joined; around each hit the words are compared one by one.
 
 Documents are read once and not shuffled while the item side is small enough to broadcast (its words are counted first).
 Beyond that, seeds and items are joined by shuffles that carry ids and positions only.
@@ -21,8 +21,6 @@ from .common import word_hashes
 
 WINDOW, SUBSTITUTIONS = 13, 2
 MASKS = ((0, 1, 2, 5, 9, 10), (0, 1, 3, 4, 5, 6))
-#: Items of fewer words say nothing about where a text comes from and are not searched for.
-LEAST_WORDS = 5
 #: Words of all items up to which their seeds are broadcast (about 100 bytes a word and mask).
 BROADCAST_WORDS = 250_000
 
@@ -33,30 +31,49 @@ def _seed(h: Column, at: Column, masks: Sequence[Sequence[int]], m: Column) -> C
     return reduce(lambda rest, c: F.when(m == c[0], c[1]).otherwise(rest), list(enumerate(cases))[:-1][::-1], cases[-1])
 
 
+def _allowed(words):
+    """Substitutions in that many words, a number or a column of numbers."""
+    return words * SUBSTITUTIONS / WINDOW
+
+
+def _half(n: int) -> int:
+    """Words of a seed of an item of n < WINDOW words: half of it, or all where nothing may be substituted."""
+    return n if int(_allowed(n)) == 0 else n // 2
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", broadcast_words: int = BROADCAST_WORDS
 ) -> DataFrame:
     """(key, text_hash, item key, matched long, item_words long): a row for each contaminated text and item.
 
-    matched: equal words at the best alignment that holds such a window. Items of 5 to 12 words must stand whole and
-    unchanged; shorter ones, null and empty texts match nothing. text_hash (xxhash64 of the text) tells apart rows that
-    share a key; repeated rows give one row. Null keys and null item keys are kept. Other columns are dropped.
+    matched: equal words at the best alignment that holds such a window. Null, empty and wordless texts and items match
+    nothing. text_hash (xxhash64 of the text) tells apart rows that share a key; repeated rows give one row. Null keys and null
+    item keys are kept. Texts of any length are read whole, a row at a time; empty tables give an empty one. Other columns are
+    dropped, so their names cannot clash.
     """
     bench = items.select(F.col(item_key).alias("item"), word_hashes(F.col(item_text)).alias("ih"))
-    bench = bench.withColumn("n", F.size("ih")).where(F.col("n") >= LEAST_WORDS).distinct()
-    short = sorted(r.n for r in bench.where(F.col("n") < 1 + max(MASKS[1])).select("n").distinct().collect())  # lengths under 7 only
-    masks = [*MASKS, *(tuple(range(n)) for n in short)]
+    bench = bench.withColumn("n", F.size("ih")).where("n > 0").distinct()
+    lengths = {r.n for r in bench.select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect()}  # at most 13 numbers
+    halves = sorted({_half(n) for n in lengths if n < WINDOW})
+    masks = [*(MASKS if WINDOW in lengths else ()), *(tuple(range(n)) for n in halves)]
+    if not masks:
+        masks = [(0,)]
     total = bench.agg(F.sum("n")).first()[0] or 0
     bench = bench.withColumn("item_no", F.xxhash64("item", "ih"))
     pos = bench.select("item_no", "n", "ih", F.explode(F.sequence(F.lit(0), F.col("n") * len(masks) - 1)).alias("i"))
     pos = pos.withColumn("ip", F.expr(f"i div {len(masks)}").cast("int")).withColumn("m", F.col("i") % len(masks))
     reach = F.array(*(F.lit(max(m)) for m in masks))
-    seeds = pos.where(F.col("ip") + F.get(reach, F.col("m")) < F.col("n"))
-    seeds = seeds.select(_seed(F.col("ih"), F.col("ip"), masks, F.col("m")).alias("seed"), "item_no", "ip")
+    spaced = len(masks) - len(halves)
+    wide = (F.col("n") >= WINDOW) & (F.col("m") < spaced) & (F.col("ip") + F.get(reach, F.col("m")) < F.col("n"))
+    use = wide
+    for n in sorted(lengths - {WINDOW}):
+        h = _half(n)
+        use = use | ((F.col("n") == n) & (F.col("m") == spaced + halves.index(h)) & F.col("ip").isin(0, n - h))
+    seeds = pos.where(use).select(_seed(F.col("ih"), F.col("ip"), masks, F.col("m")).alias("seed"), "item_no", "ip")
     bench = bench.select("item_no", "item", "ih", F.col("n").alias("item_words"))
 
     base = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), word_hashes(F.col(text)).alias("h"))
-    long_enough = base.where(F.size("h") >= LEAST_WORDS)
+    long_enough = base.where(F.size("h") > 0)
     at = long_enough.select("k", "text_hash", "h", F.explode(F.sequence(F.lit(0), F.size("h") * len(masks) - 1)).alias("i"))
     at = at.withColumn("p", F.expr(f"i div {len(masks)}").cast("int"))
     at = at.withColumn("seed", _seed(F.col("h"), F.col("p"), masks, F.col("i") % len(masks)))
@@ -74,7 +91,7 @@ def contaminated(
     own = lambda j: F.when((j + F.col("shift") >= 0) & (F.get("ih", j) == F.get("h", j + F.col("shift"))), 1).otherwise(0)
     hits = hits.withColumn("same", F.transform(F.sequence(F.lit(0), F.col("item_words") - 1), own))
     size = F.least(F.lit(WINDOW), F.col("item_words"))
-    need = F.when(F.col("item_words") >= WINDOW, WINDOW - SUBSTITUTIONS).otherwise(F.col("item_words"))
+    need = size - F.floor(_allowed(size))
     # a window that fits holds an untouched seed, so the windows over this seed are enough
     first = F.greatest(F.lit(0), F.col("ip") - WINDOW + 1)
     last = F.least(F.col("ip"), F.col("item_words") - size)
@@ -87,8 +104,8 @@ def contaminated(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that no item contaminates, with all their columns."""
-    bad = contaminated(docs, items, key, text).select(F.col(key).alias("bad_key"), "text_hash").distinct()
-    same = docs[key].eqNullSafe(bad["bad_key"]) & (F.xxhash64(docs[text].cast("string")) == bad["text_hash"])
+    bad = contaminated(docs, items, key, text).select(F.col(key).alias("bad_key"), F.col("text_hash").alias("bad_hash")).distinct()
+    same = docs[key].eqNullSafe(bad["bad_key"]) & (F.xxhash64(docs[text].cast("string")) == bad["bad_hash"])
     return docs.join(bad, same, "left_anti")
 
 
@@ -97,11 +114,11 @@ ORACLE_SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+') AS w FROM documents),
      b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+') AS w FROM benchmark),
      dw AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM d),
-     bw AS (SELECT item_id, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM b WHERE len(w) >= {LEAST_WORDS}),
+     bw AS (SELECT item_id, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM b),
      m AS (SELECT doc_id, item_id, n, dw.p - bw.p AS shift, bw.p AS p FROM dw JOIN bw ON dw.w = bw.w),
      c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p RANGE BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS near,
                   count(*) OVER (PARTITION BY doc_id, item_id, shift) AS matched FROM m)
 SELECT doc_id, item_id, CAST(max(matched) AS BIGINT) AS matched, CAST(n AS BIGINT) AS item_words
-FROM c WHERE near >= CASE WHEN n >= {WINDOW} THEN {WINDOW - SUBSTITUTIONS} ELSE n END
+FROM c WHERE near >= least(n, {WINDOW}) - least(n, {WINDOW}) * {SUBSTITUTIONS} // {WINDOW}
 GROUP BY doc_id, item_id, n
 """

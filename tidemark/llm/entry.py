@@ -53,11 +53,13 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *map(count, base),
         F.sha2(pii.span_text(base), 256).alias("base_sha256"),
         pii.span_text(base | {"term": "terms"}).alias("spans"),
+        F.coalesce(F.size(F.filter("terms", lambda x: x["remove"])), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(F.filter("terms", lambda x: ~x["remove"])), F.lit(0)).cast("long").alias("n_generalised"),
     )
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(_table(spark, sf_dir, "documents"), license_scan.notices(spark))
+    return license_scan.scan(_table(spark, sf_dir, "documents"), license_scan.notices(spark)).drop("text_hash")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

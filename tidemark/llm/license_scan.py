@@ -1,8 +1,9 @@
 """Licence scan by MinHash bands over text windows, in DataFrame operations only.
 
-Windows of a text start where a run of a template's 3-word shingles starts and are as long as that template. Their
-MinHash bands retrieve templates; with 16 bands of 2 a window of Jaccard similarity 2/3 (the least that a containment of
-0.8 leaves) meets its template with probability over 0.9999. Exact containment of the template's shingles decides.
+Windows overlap: one for each place and template length. The MinHash bands of a window retrieve templates; with 16 bands of 2 a
+window of Jaccard similarity 2/3 (the least that a containment of 0.8 leaves) meets its template with probability over 0.9999.
+Exact containment of the template's shingles decides. A window can share a band with a template only if it holds shingles of
+it, so bands are computed for the windows that a common shingle aligns with the template, and the other windows are left out.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from .common import word_hashes
 
 WIDTH, BANDS, ROWS = 3, 16, 2
 CONTAINMENT = (4, 5)
+#: Words of all templates up to which their shingles and bands are broadcast (about 100 bytes a word); beyond, they are joined by
+#: shuffles.
+BROADCAST_WORDS = 200_000
 
 # Licence notices in their usual wording.
 NOTICES = {
@@ -28,12 +32,15 @@ NOTICES = {
     "mit": "Released under the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "all-rights-reserved-short": "All rights reserved.",
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced",
 }
 
 
 def notices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(NOTICES.items()), "license string, notice string")
+    """(license, notice), without leaving the JVM."""
+    pairs = F.array(*(F.struct(F.lit(k).alias("license"), F.lit(v).alias("notice")) for k, v in NOTICES.items()))
+    return spark.range(1).select(F.explode(pairs).alias("n")).select("n.*")
 
 
 def _shingles(words: Column) -> Column:
@@ -51,39 +58,43 @@ def _bands(shingles: Column) -> Column:
     return F.array(*(F.xxhash64(F.lit(b), *low[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)))
 
 
-def scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str = "text", name: str = "license", notice: str = "notice") -> DataFrame:
-    """(key, license, matched long, shingles long, word long): the licences that each text contains.
+def scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str = "text", name: str = "license", notice: str = "notice", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """(key, text_hash, license, matched long, shingles long, word long): the licences that each text contains.
 
     A licence is found if a window of its length holds at least 4/5 of the template's distinct shingles. matched is the
     most that a window holds, word the first such window's place (words from 0). Templates of fewer than 3 words and
-    null or empty texts match nothing; rows that share a key are taken together. Other columns are dropped. `templates`
-    is a catalogue of notices: small, and counted before it is broadcast.
+    null or empty texts match nothing. text_hash (xxhash64 of the text) tells apart rows that share a key, null included;
+    repeated rows give one row. Several wordings of one licence give it once, the best one (ties: more shingles, then the first place).
+    Texts of any length are read whole, a row at a time; empty tables give an empty one. Other columns are dropped, so their
+    names cannot clash.
     """
     cat = templates.select(F.col(name).alias("license"), word_hashes(F.col(notice)).alias("w"))
     cat = cat.withColumn("ts", _shingles(F.col("w"))).where(F.size("ts") > 0).select("license", F.size("w").alias("size"), "ts")
     words = cat.agg(F.sum("size")).first()[0] or 0
-    if words > 200_000:
-        raise ValueError("the catalogue of notices is too large to broadcast")
+    small = F.broadcast if words <= broadcast_words else lambda df: df
     starts = cat.select("size", F.posexplode("ts").alias("j", "shingle"), F.col("ts").alias("all"))
     starts = starts.select("shingle", "j", "size", F.when(F.col("j") > 0, F.get("all", F.col("j") - 1)).alias("before")).distinct()
     by_band = cat.select("license", "size", F.array_distinct("ts").alias("ts"), F.explode(_bands(F.col("ts"))).alias("band"))
 
-    base = docs.select(F.col(key).alias("k"), word_hashes(F.col(text)).alias("h")).where(F.size("h") >= WIDTH)
-    at = base.select("k", "h", F.explode(F.sequence(F.lit(0), F.size("h") - WIDTH)).alias("p"))
+    base = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text).cast("string")).alias("th"), word_hashes(F.col(text)).alias("h")).where(F.size("h") >= WIDTH)
+    at = base.select("k", "th", "h", F.explode(F.sequence(F.lit(0), F.size("h") - WIDTH)).alias("p"))
     shingle = lambda p: F.xxhash64(*(F.get("h", p + i) for i in range(WIDTH)))
-    hits = at.withColumn("shingle", shingle(F.col("p"))).join(F.broadcast(starts), "shingle")
+    hits = at.withColumn("shingle", shingle(F.col("p"))).join(small(starts), "shingle")
     # only where a run of the template starts: the word before does not continue it
     run = F.col("before").isNull() | (F.col("p") == 0) | (shingle(F.greatest(F.col("p") - 1, F.lit(0))) != F.col("before"))
     hits = hits.where(run).withColumn("start", F.greatest(F.col("p") - F.col("j"), F.lit(0)))
-    windows = hits.select("k", "start", "size", _shingles(F.slice("h", F.col("start") + 1, "size")).alias("ws"))
+    windows = hits.select("k", "th", "start", "size", _shingles(F.slice("h", F.col("start") + 1, "size")).alias("ws"))
     windows = windows.withColumn("band", F.explode(_bands(F.col("ws"))))
-    found = windows.join(F.broadcast(by_band), ["band", "size"])
+    found = windows.join(small(by_band), ["band", "size"])
     found = found.withColumn("matched", F.size(F.array_intersect("ts", "ws"))).withColumn("shingles", F.size("ts"))
     num, den = CONTAINMENT
     found = found.where(F.col("matched") * den >= F.col("shingles") * num)
-    best = F.max(F.struct("matched", (-F.col("start")).alias("back"))).alias("best")
-    out = found.groupBy("k", "license", "shingles").agg(best)
-    return out.select(F.col("k").alias(key), "license", F.col("best.matched").cast("long").alias("matched"), F.col("shingles").cast("long").alias("shingles"), (-F.col("best.back")).cast("long").alias("word"))
+    best = F.max(F.struct("matched", "shingles", (-F.col("start")).alias("back"))).alias("best")
+    out = found.groupBy("k", "th", "license").agg(best)
+    return out.select(
+        F.col("k").alias(key), F.col("th").alias("text_hash"), "license", F.col("best.matched").cast("long").alias("matched"),
+        F.col("best.shingles").cast("long").alias("shingles"), (-F.col("best.back")).cast("long").alias("word"),
+    )
 
 
 def oracle_sql() -> str:

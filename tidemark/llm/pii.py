@@ -7,7 +7,8 @@ word discloses an entity as far as their pointwise mutual information reaches th
     disclosure = log(co * N / (df_word * df_entity)) / log(N / df_entity)
 
 Words of a disclosure of REMOVE or more are removed wherever they stand in the documents that hold the entity, those of
-GENERALISE or more are replaced by their class. Entities of the same documents have the same counts with every word, so
+GENERALISE or more are replaced by their class: a number, a code of letters and digits, or a word. All four counts are of rows, repeated
+ones included. Entities of the same documents have the same counts with every word, so
 they are counted as one group. There is no least number of meetings: an entity of one document is the rarest of all, and a word
 that no other document holds gives it away in full.
 """
@@ -19,7 +20,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 GENERALISE, REMOVE = 0.8, 0.95
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -34,7 +35,6 @@ PATTERNS = {
 }
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}'’_-]*+"
-LEAST_TERM = 3  # code points
 _BLOCK = 256
 
 
@@ -121,7 +121,7 @@ def _groups(held: DataFrame) -> DataFrame:
 def _met(held: DataFrame) -> DataFrame:
     """(k, th, grp, df_ent, term): each word of each document that holds an entity, with the document's groups."""
     both = _by_document(held, _groups(held)).select("k", "th", "groups", F.explode_outer(_terms("t")).alias("term"))
-    met = both.where(F.length("term") >= LEAST_TERM).select("k", "th", F.explode("groups").alias("g"), "term")
+    met = both.where("term IS NOT NULL").select("k", "th", F.explode("groups").alias("g"), "term")
     return met.select("k", "th", "g.grp", "g.df_ent", "term")
 
 
@@ -139,7 +139,7 @@ def disclosures(docs: DataFrame, met: DataFrame, key: str = "doc_id", text: str
     """(grp, term, disclosure) of the words that disclose a group's entities, over the whole corpus."""
     counts = met.groupBy("grp", "df_ent", "term").agg(F.count("*").alias("co"))
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    df_term = rows.select(F.explode_outer(_terms("t")).alias("term")).where(F.length("term") >= LEAST_TERM).groupBy("term").agg(F.count("*").alias("df_term"))
+    df_term = rows.select(F.explode_outer(_terms("t")).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df_term"))
     found = counts.join(df_term, "term").crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))  # one row
     content = F.log(F.col("n") / F.col("df_ent"))
     pmi = F.log(F.col("co") * F.col("n") / (F.col("df_term") * F.col("df_ent")))
@@ -152,7 +152,8 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     The pattern kinds are array<struct<s,e,v>>, terms array<struct<s,e,remove>>, all in order, in code points from 0, end
     exclusive; null or empty where there are none. Null texts count as empty. Documents of equal key and text share their
-    spans; null keys are rows like others. Other columns are dropped.
+    spans; null keys are rows like others. Texts of any length are read whole; a word of equal disclosure for several entities takes
+    the highest; an empty table gives an empty one. Other columns are dropped, so their names cannot clash.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     spans = _spans(docs, key, text, scratch)
@@ -160,7 +161,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     met = scratch.save(_met(held), "met")
     found = disclosures(docs, met, key, text)
     hit = scratch.save(met.join(found, ["grp", "term"]).groupBy("k", "th", "term").agg((F.max("disclosure") >= REMOVE).alias("remove")), "hit")
-    words = _words(held).where(F.length("term") >= LEAST_TERM)
+    words = _words(held).where("term IS NOT NULL")
     marked = _by_document(words, hit.withColumnRenamed("term", "of")).where("term = of")
     terms = marked.groupBy("k", "th").agg(F.array_sort(F.collect_set(F.struct("s", "e", "remove"))).alias("terms"))
     out = _by_document(spans.drop("ents", "t"), terms, "left")
@@ -180,25 +181,32 @@ def _labelled(label: Column, x: Column) -> Column:
     return F.struct(x["s"].alias("s"), x["e"].alias("e"), label.alias("label"))
 
 
+def _class(word: Column) -> Column:
+    """What a generalised word becomes: the class that it shares with many others."""
+    return F.when(word.rlike(r"^\p{N}+$"), "[NUMBER]").when(word.rlike(r"\p{N}"), "[CODE]").otherwise("[WORD]")
+
+
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with all their columns and personal data replaced in `text`: [EMAIL], [IP], [CARD], [PHONE],
-    [REMOVED] for disclosing words, [WORD] for generalised ones. Overlapping spans are replaced as one run."""
-    spans = find(docs, key, text)
+    [REMOVED] for disclosing words, and for generalised ones their class [NUMBER], [CODE] or [WORD]. Overlapping spans are replaced as
+    one run. Rows, null texts and repeated rows stay as they are, one for one."""
+    found = find(docs, key, text)
+    sk, sth, name = fresh(docs, "found_key", "found_hash", "found_spans")
     none = F.array().cast("array<struct<s:int,e:int,label:string>>")
     pieces = [F.coalesce(F.transform(kind, partial(_labelled, F.lit(f"[{kind.upper()}]"))), none) for kind in PATTERNS]
-    label = lambda x: F.when(x["remove"], "[REMOVED]").otherwise("[WORD]")
-    pieces.append(F.coalesce(F.transform("terms", lambda x: _labelled(label(x), x)), none))
-    spans = spans.select(F.col(key).alias("sk"), F.col("text_hash").alias("sth"), F.array_sort(F.concat(*pieces)).alias("__spans"))
-    spans = spans.where(F.size("__spans") > 0).distinct()
+    pieces.append(F.coalesce(F.transform("terms", lambda x: _labelled(F.when(x["remove"], "[REMOVED]"), x)), none))  # a null label: the class
+    spans = found.select(F.col(key).alias(sk), F.col("text_hash").alias(sth), F.array_sort(F.concat(*pieces)).alias(name))
+    spans = spans.where(F.size(name) > 0).distinct()
     last = lambda a: F.coalesce(F.get(a, F.size(a) - 1)["e"], F.lit(0))
     rest = lambda a, x: F.struct(F.greatest(x["s"], last(a)).alias("s"), x["e"].alias("e"), x["label"].alias("label"))
-    apart = F.aggregate("__spans", none, lambda a, x: F.when(x["e"] > last(a), F.concat(a, F.array(rest(a, x)))).otherwise(a))
-    spans = spans.withColumn("__spans", apart)
-    same = docs[key].eqNullSafe(spans["sk"]) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == spans["sth"])
+    apart = F.aggregate(name, none, lambda a, x: F.when(x["e"] > last(a), F.concat(a, F.array(rest(a, x)))).otherwise(a))
+    spans = spans.withColumn(name, apart)
+    same = docs[key].eqNullSafe(spans[sk]) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == spans[sth])
     df = docs.join(spans, same, "left")
-    n = F.size("__spans")
-    before = lambda i: F.when(i > 0, F.get("__spans", i - 1)["e"]).otherwise(0)
+    n = F.size(name)
+    before = lambda i: F.when(i > 0, F.get(name, i - 1)["e"]).otherwise(0)
     cut = lambda frm, to: F.substring(F.col(text), frm + 1, to - frm)
-    one = lambda i: F.concat(cut(before(i), F.get("__spans", i)["s"]), F.get("__spans", i)["label"])
+    label = lambda x: F.coalesce(x["label"], _class(cut(x["s"], x["e"])))
+    one = lambda i: F.concat(cut(before(i), F.get(name, i)["s"]), label(F.get(name, i)))
     kept = F.concat(F.concat_ws("", F.transform(F.sequence(F.lit(0), n - 1), one)), cut(before(n), F.length(text)))
-    return df.withColumn(text, F.when(n > 0, kept).otherwise(F.col(text))).drop("sk", "sth", "__spans")
+    return df.withColumn(text, F.when(n > 0, kept).otherwise(F.col(text))).drop(sk, sth, name)
