@@ -602,8 +602,8 @@ def brand_mask(spark: SparkSession, d: str) -> DataFrame:
     return cp.mask_phrases(_tokens(spark, d), D, ["of the", "de la"], "*other*").select("doc_id", "idx", "tok", "muted")
 
 
-_FIXES = cp.Rewrites(rules=(((frozenset({"the", "of"}), frozenset({"and", "in"})), ("fixed", "two", "three")),), ambiguous=frozenset({"est"}), before=frozenset({"the"}), after=frozenset({"of"}), special="based")
-_CHUNKS = cp.Chunking(groups=(("of", "the"), ("de", "la")), special=frozenset({"based"}))
+_FIXES = cp.Rewrites(rules=(((frozenset({"the", "of"}), frozenset({"and", "in"})), ("fixed", "two", "three")),), ambiguous=frozenset({"est"}), before=frozenset({"the"}), after=frozenset({"of"}), special="exact")
+_CHUNKS = cp.Chunking(groups=(("of", "the"), ("de", "la")), special=frozenset({"exact"}))
 
 
 @query()
