@@ -68,22 +68,27 @@ def total(df: DataFrame, key: Key) -> DataFrame:
     return merge(df, key).groupBy(*key).agg(F.sum(F.col("e") - F.col("s")).alias("total"))
 
 
+def _reached(rows: DataFrame, items: DataFrame, key: Key, at: Column, since: Column, strict: bool, anti: bool) -> DataFrame:
+    """Rows of which some item that begins at or before `at` (strict: before) ends after `since`: the farthest end of the items so
+    far, by one window over both tables, so a key with n rows and m items costs n + m and not n x m."""
+    carried = [c for c in rows.columns if c not in key]
+    r = rows.select(*key, at.alias("__at"), F.lit(0 if strict else 2).alias("__kind"), F.struct(since.alias("since"), *(F.col(c) for c in carried)).alias("__row"), F.lit(None).cast(items.schema["e"].dataType).alias("__e"))
+    i = items.where(" AND ".join(f"{k} IS NOT NULL" for k in key)).select(*key, F.col("s").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(r.schema["__row"].dataType).alias("__row"), F.col("e").alias("__e"))
+    so_far = F.max("__e").over(Window.partitionBy(*key).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0))
+    both = r.unionByName(i).withColumn("__far", so_far).where("__kind <> 1")
+    hit = F.coalesce(F.col("__far") > F.col("__row.since"), F.lit(False))
+    out = both.where(~hit if anti else hit)
+    return out.select(*(F.col(c) if c in key else F.col(f"__row.{c}") for c in rows.columns))
+
+
 def containing(points: DataFrame, items: DataFrame, key: Key, t: str = "t", anti: bool = False) -> DataFrame:
     """Points in (or with `anti`, outside of) any interval [s, e)."""
-    i = items.select(*(F.col(k).alias(f"__{k}") for k in key), F.col("s").alias("__s"), F.col("e").alias("__e"))
-    on = (F.col("__s") <= F.col(t)) & (F.col(t) < F.col("__e"))
-    for k in key:
-        on = on & (F.col(k) == F.col(f"__{k}"))
-    return points.join(i, on, "left_anti" if anti else "left_semi")
+    return _reached(points, items, key, F.col(t), F.col(t), False, anti)
 
 
 def touching(a: DataFrame, b: DataFrame, key: Key, anti: bool = False) -> DataFrame:
     """Rows of a that overlap some row of b (with `anti`, none)."""
-    i = b.select(*(F.col(k).alias(f"__{k}") for k in key), F.col("s").alias("__s"), F.col("e").alias("__e"))
-    on = (F.col("s") < F.col("__e")) & (F.col("e") > F.col("__s"))
-    for k in key:
-        on = on & (F.col(k) == F.col(f"__{k}"))
-    return a.join(i, on, "left_anti" if anti else "left_semi")
+    return _reached(a, b, key, F.col("e"), F.col("s"), True, anti)
 
 
 def snap_keep(keep: DataFrame, durations: DataFrame, key: Key, fps: float) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import merge
+from .intervals import merge, touching
 
 Key = Sequence[str]
 FPS, FLOOR_DB = 50, -28.0
@@ -53,11 +53,16 @@ def loud_run(ranges: DataFrame, frames: DataFrame, key: Key, need: int = 12, edg
     ranges: (key, x, y) in frames; frames: (key, i, v, th), th as `threshold` with frac 0.5 gives it."""
     mid = frames.select(*key, F.col("i").alias("__m"), F.col("th").alias("__th"))
     r = ranges.withColumn("__m", F.floor((F.col("x") + F.col("y")) / 2)).join(mid, [*key, "__m"], "left")
-    f = frames.select(*(F.col(k).alias(f"__{k}") for k in key), F.col("i").alias("__i"), "v")
-    on = (F.col("__i") >= F.col("x") + edge) & (F.col("__i") < F.col("y") - edge) & (F.col("v") > F.col("__th"))
-    for k in key:
-        on = on & (F.col(k) == F.col(f"__{k}"))
-    return r.join(f, on, "left").groupBy(*ranges.columns).agg((F.count("__i") >= need).alias("loud"))
+    near = _with_frames(r, frames, key, F.col("x") + edge, F.col("y") - edge)
+    return near.groupBy(*ranges.columns).agg((F.count(F.when(F.col("v") > F.col("__th"), 1)) >= need).alias("loud"))
+
+
+def _with_frames(ranges: DataFrame, frames: DataFrame, key: Key, first: Column, end: Column) -> DataFrame:
+    """Each range once a frame number of [first, end), with __i and the frame's v; v is null where there is no such frame, and a
+    range without frame numbers keeps one row. An equi-join on key and frame, so that a key with many ranges is spread."""
+    numbers = F.when(end > first, F.sequence(first, end - 1))
+    f = frames.select(*key, F.col("i").cast("long").alias("__i"), "v")
+    return ranges.withColumn("__i", F.explode_outer(numbers.cast("array<bigint>"))).join(f, [*key, "__i"], "left")
 
 
 def scan(marks: DataFrame, frames: DataFrame, key: Key, forward: bool = True, quiet: int = QUIET_FRAMES) -> DataFrame:
@@ -68,15 +73,11 @@ def scan(marks: DataFrame, frames: DataFrame, key: Key, forward: bool = True, qu
     backward: the first loud frame, or start. frames: (key, i, v, th). The level is that of the mark's frame."""
     level = frames.select(*key, F.col("i").alias("mark"), F.col("th").alias("__th"))
     m = marks.join(level, [*key, "mark"])
-    f = frames.select(*(F.col(k).alias(f"__{k}") for k in key), F.col("i").alias("__i"), "v")
-    inside = (F.col("__i") >= F.col("start")) & (F.col("__i") < F.col("limit")) if forward else (F.col("__i") <= F.col("start")) & (F.col("__i") > F.col("limit"))
-    on = inside
-    for k in key:
-        on = on & (F.col(k) == F.col(f"__{k}"))
-    near = m.join(f, on, "left").withColumn("__loud", F.coalesce((F.col("v") > F.col("__th")).cast("int"), F.lit(0)))
+    first, end = (F.col("start"), F.col("limit")) if forward else (F.col("limit") + 1, F.col("start") + 1)
+    near = _with_frames(m, frames, key, first, end).withColumn("__loud", (F.col("v") > F.col("__th")).cast("int"))
     step = Window.partitionBy(*marks.columns).orderBy(F.col("__i") if forward else F.col("__i").desc())
     quiet_run = F.sum(1 - F.col("__loud")).over(step.rowsBetween(1 - quiet, 0))
-    seen = F.count("*").over(step.rowsBetween(1 - quiet, 0))
+    seen = F.count("v").over(step.rowsBetween(1 - quiet, 0))  # numbers beyond the last frame are none
     near = near.withColumn("__stop", ((quiet_run == quiet) & (seen == quiet)).cast("int"))
     near = near.withColumn("__over", F.coalesce(F.max("__stop").over(step.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     loud = F.when((F.col("__loud") == 1) & (F.col("__over") == 0), F.col("__i"))
@@ -88,14 +89,10 @@ def scan(marks: DataFrame, frames: DataFrame, key: Key, forward: bool = True, qu
 def guard_cut(cuts: DataFrame, frames: DataFrame, key: Key, level: float = -8.0, quiet: int = 12) -> DataFrame:
     """Adds ga, gb: a cut [a, b) in frames pulled in while its edges are louder than `level`; a dip of up to `quiet`
     frames does not stop it; ga = gb = a if nothing is left. frames: (key, i, v)."""
-    f = frames.select(*(F.col(k).alias(f"__{k}") for k in key), F.col("i").alias("__i"), "v")
-    on = (F.col("__i") >= F.col("a")) & (F.col("__i") < F.col("b"))
-    for k in key:
-        on = on & (F.col(k) == F.col(f"__{k}"))
-    near = cuts.join(f, on, "left").withColumn("__q", F.coalesce((F.col("v") <= level).cast("int"), F.lit(1)))
+    near = _with_frames(cuts, frames, key, F.col("a"), F.col("b")).withColumn("__q", (F.col("v") <= level).cast("int"))
     for name, order in (("l", F.col("__i")), ("r", F.col("__i").desc())):
         step = Window.partitionBy(*cuts.columns).orderBy(order)
-        run, seen = (x.over(step.rowsBetween(-quiet, 0)) for x in (F.sum("__q"), F.count("*")))
+        run, seen = (x.over(step.rowsBetween(-quiet, 0)) for x in (F.sum("__q"), F.count("v")))
         near = near.withColumn("__stop", ((run == quiet + 1) & (seen == quiet + 1)).cast("int"))
         near = near.withColumn(f"__{name}", F.coalesce(F.max("__stop").over(step.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     loud = lambda side: F.when((F.col("__q") == 0) & (F.col(side) == 0), F.col("__i"))
@@ -117,11 +114,7 @@ def merge_passes(a: DataFrame, b: DataFrame, frames: DataFrame, key: Key, least_
     base = frames.groupBy(*key).agg(F.percentile("v", 0.2).alias("__p20"))
     cand = b.where((F.col("p") >= least_p) & (F.col("e") > F.col("s")))
     ids = [*key, "s", "e", "t", "p"]
-    x = a.select(*(F.col(k).alias(f"__{k}") for k in key), F.col("s").alias("__s"), F.col("e").alias("__e"))
-    meet = (F.col("s") < F.col("__e")) & (F.col("e") > F.col("__s"))
-    for k in key:
-        meet = meet & (F.col(k) == F.col(f"__{k}"))
-    cand = cand.join(x, meet, "left_anti").select(*ids)
+    cand = touching(cand, a, key, anti=True).select(*ids)
     f = frames.select(*(F.col(k).alias(f"__{k}") for k in key), "i", "v")
     on = (F.col("i") >= F.floor(F.col("s") * fps)) & (F.col("i") < F.floor(F.col("e") * fps) + 1)
     for k in key:

@@ -6,6 +6,7 @@ stats(name, ...), snaps(stage, pos, ...). Stages run in the order of STAGES; the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -108,8 +109,19 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save(plan: DataFrame, path: str) -> None:
-    """Writes the document as one JSON file in a folder; readers see the old or the new one."""
-    plan.coalesce(1).write.mode("overwrite").json(path)
+    """Writes the document as one JSON file in a folder. It is written beside the folder first and takes its place by renaming, so
+    a plan can be saved where it was loaded from, and a failed run leaves the old one; readers see the old, the new or no folder."""
+    spark = plan.sparkSession
+    aside, old = f"{path.rstrip('/')}.{uuid.uuid4().hex}.new", f"{path.rstrip('/')}.{uuid.uuid4().hex}.old"
+    plan.coalesce(1).write.json(aside)
+    to = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    files = to(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(to(path)) and not files.rename(to(path), to(old)):
+        raise OSError(f"cannot move {path}")
+    if not files.rename(to(aside), to(path)):
+        files.rename(to(old), to(path))
+        raise OSError(f"cannot write {path}")
+    files.delete(to(old), True)
 
 
 def shorts(plan: DataFrame) -> DataFrame:
@@ -152,8 +164,15 @@ def reconcile(plan: DataFrame, actual: DataFrame, key: Sequence[str], slack: int
     return both.select(*key, "pos", issue.alias("issue")).where("issue IS NOT NULL")
 
 
-def layout(shorts_: DataFrame, order: str, frames: str, gap: int) -> DataFrame:
-    """Adds offset: where each short begins when all stand one after another with `gap` frames between. The table of one
-    batch's shorts: a row a short."""
-    before = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return shorts_.withColumn("offset", F.coalesce(F.sum(F.col(frames) + gap).over(before), F.lit(0)))
+def layout(shorts_: DataFrame, order: str, frames: str, gap: int, buckets: int = 64) -> DataFrame:
+    """Adds offset: where each short begins when all stand one after another with `gap` frames between. order: a number. Sums are
+    taken within buckets between approximate quantiles of it (fixed once, so recomputed tasks agree), then the sums of the buckets
+    before are added, so that no task needs the whole table."""
+    edges = sorted(set(shorts_.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.002)))
+    bucket = reduce(lambda n, x: n + F.when(F.col(order) > x, 1).otherwise(0), edges, F.lit(0))
+    s = shorts_.withColumn("__b", bucket)
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = s.groupBy("__b").agg(F.sum(F.col(frames) + gap).alias("__s"))
+    sums = sums.select("__b", before("__s", Window.orderBy("__b")).alias("__off"))  # a row a bucket
+    s = s.withColumn("__in", before(F.col(frames) + gap, Window.partitionBy("__b").orderBy(order)))
+    return s.join(F.broadcast(sums), "__b").select(*shorts_.columns, (F.col("__in") + F.col("__off")).alias("offset"))

@@ -362,12 +362,12 @@ def louder_half_norm(spark: SparkSession, d: str) -> DataFrame:
 _MID = f"th AS (SELECT user_id, i, v, lo + {{}}::DOUBLE * (hi - lo) AS th FROM (SELECT user_id, i, v, quantile_cont(v, 0.15) OVER w AS lo, quantile_cont(v, 0.85) OVER w AS hi FROM fr WINDOW w AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN {HALF} PRECEDING AND {HALF - 1} FOLLOWING)))"
 
 
-@query(f"""WITH {FR}, {_MID.format(0.5)}, r AS (SELECT user_id, i AS x, i + 20 AS y FROM fr WHERE i % 10 = 0)
+@query(f"""WITH {FR}, {_MID.format(0.5)}, r AS (SELECT user_id, i AS x, i + 20 AS y FROM fr)
 SELECT r.user_id, x, y, (SELECT count(*) FROM th WHERE th.user_id = r.user_id AND th.i >= x + 3 AND th.i < y - 3 AND th.v > m.th) >= 7 AS loud
 FROM r LEFT JOIN th m ON m.user_id = r.user_id AND m.i = x + 10""")
 def loud_run(spark: SparkSession, d: str) -> DataFrame:
     f = signals.threshold(frames(spark, d), U, "v", "th", frac=0.5, floor=None, half=HALF).select("user_id", "i", "v", "th")
-    r = f.where("i % 10 = 0").select("user_id", F.col("i").alias("x"), (F.col("i") + 20).alias("y"))
+    r = f.select("user_id", F.col("i").alias("x"), (F.col("i") + 20).alias("y"))
     return signals.loud_run(r, f, U, need=7)
 
 
@@ -383,7 +383,7 @@ def _scan(forward: bool) -> str:
     back = "y.i > x.i - 3 AND y.i <= x.i" if forward else "y.i < x.i + 3 AND y.i >= x.i"
     pick, cmp_, agg, plus = ("min", "<=", "max", "+ 1") if forward else ("max", ">=", "min", "")
     marks = "greatest(i - 4, 0) AS start, i + 25 AS lim" if forward else "i + 4 AS start, greatest(i - 25, 0) AS lim"
-    return f"""WITH {FR}, {_MID.format(0.35)}, mk AS (SELECT user_id, i AS mark, th AS level, {marks} FROM th WHERE i % 5 = 0),
+    return f"""WITH {FR}, {_MID.format(0.35)}, mk AS (SELECT user_id, i AS mark, th AS level, {marks} FROM th),
 f AS (SELECT mk.user_id, mark, start, th.i, th.v > level AS loud FROM mk JOIN th ON th.user_id = mk.user_id AND {near}),
 stop AS (SELECT user_id, mark, {pick}(i) AS stop FROM (SELECT x.user_id, x.mark, x.i FROM f x JOIN f y ON y.user_id = x.user_id AND y.mark = x.mark AND {back} GROUP BY ALL HAVING count(*) = 3 AND count(*) FILTER (y.loud) = 0) GROUP BY ALL),
 hit AS (SELECT f.user_id, f.mark, {agg}(f.i) AS i FROM f LEFT JOIN stop USING (user_id, mark) WHERE loud AND (stop IS NULL OR f.i {cmp_} stop) GROUP BY ALL)
@@ -394,7 +394,7 @@ def _scanned(spark: SparkSession, d: str, forward: bool) -> DataFrame:
     f = signals.threshold(frames(spark, d), U, "v", "th", floor=None, half=HALF).select("user_id", "i", "v", "th")
     zero = F.lit(0).cast("long")
     start, limit = (F.greatest(F.col("i") - 4, zero), F.col("i") + 25) if forward else (F.col("i") + 4, F.greatest(F.col("i") - 25, zero))
-    marks = f.where("i % 5 = 0").select("user_id", F.col("i").alias("mark"), start.alias("start"), limit.alias("limit"))
+    marks = f.select("user_id", F.col("i").alias("mark"), start.alias("start"), limit.alias("limit"))
     return signals.scan(marks, f, U, forward, quiet=3).select("user_id", "mark", "edge")
 
 
@@ -408,7 +408,7 @@ def scan_start(spark: SparkSession, d: str) -> DataFrame:
     return _scanned(spark, d, False)
 
 
-@query(f"""WITH {FR}, c AS (SELECT user_id, i AS a, i + 15 AS b FROM fr WHERE i % 15 = 0),
+@query(f"""WITH {FR}, c AS (SELECT user_id, i AS a, i + 15 AS b FROM fr),
 f AS (SELECT c.user_id, a, b, fr.i, fr.v > 60 AS loud FROM c JOIN fr ON fr.user_id = c.user_id AND fr.i >= a AND fr.i < b),
 q AS (SELECT x.user_id, x.a, min(x.i) FILTER (n3) AS ls, max(x.i) FILTER (p3) AS rs FROM (SELECT x.*,
    (SELECT count(*) = 3 AND count(*) FILTER (y.loud) = 0 FROM f y WHERE y.user_id = x.user_id AND y.a = x.a AND y.i BETWEEN x.i - 2 AND x.i) AS n3,
@@ -417,7 +417,7 @@ g AS (SELECT f.user_id, f.a, f.b, coalesce(max(i) FILTER (loud AND (ls IS NULL O
 SELECT user_id, a, b, CASE WHEN gb > ga THEN ga ELSE a END AS ga, CASE WHEN gb > ga THEN gb ELSE a END AS gb FROM g""")
 def guard_cut(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d).select("user_id", "i", "v")
-    cuts = f.where("i % 15 = 0").select("user_id", F.col("i").alias("a"), (F.col("i") + 15).alias("b"))
+    cuts = f.select("user_id", F.col("i").alias("a"), (F.col("i") + 15).alias("b"))
     return signals.guard_cut(cuts, f, U, level=60, quiet=2)
 
 
@@ -631,14 +631,6 @@ def caption_retime(spark: SparkSession, d: str) -> DataFrame:
     return cp.retime(c.select("doc_id", "cap", "s", "e", "limit"), D, 29.97, 0.5, 0.4)
 
 
-@query(f"""WITH {DW}, {_TOKENS}, k AS (SELECT doc_id, string_agg('[' || idx || '] ' || t, ' ' ORDER BY idx) AS l, idx // 10 AS sent FROM tk WHERE idx < 40 GROUP BY doc_id, idx // 10)
-SELECT doc_id, string_agg('[H] ' || l, chr(10) ORDER BY sent) AS transcript FROM k GROUP BY doc_id""")
-def transcript_head(spark: SparkSession, d: str) -> DataFrame:
-    """The first forty words of each document as a numbered transcript."""
-    w = doc_words(spark, d).where("idx < 40").withColumns({"sent": F.floor(F.col("idx") / 10), "spk": F.lit("H")})
-    return turns.numbered_transcript(w, D)
-
-
 @query(f"""WITH {DW}, k AS (SELECT doc_id, string_agg('[' || idx || '] ' || t, ' ' ORDER BY idx) AS l, idx // 10 AS sent FROM dw GROUP BY doc_id, idx // 10)
 SELECT doc_id, string_agg('[H] ' || l, chr(10) ORDER BY sent) AS transcript FROM k GROUP BY doc_id""")
 def transcript_numbered(spark: SparkSession, d: str) -> DataFrame:
@@ -809,10 +801,10 @@ def stage_invalidate(spark: SparkSession, d: str) -> DataFrame:
     return document.clear_from(_staged(spark, d), "captions").select("event_id", "stage")
 
 
-@query(f"""WITH {EV}, {_STAGE}, c AS (SELECT *, event_id % 10 AS r FROM sg WHERE event_id % 10 < 3 AND event_id % 4 = 0), l AS (SELECT * FROM c WHERE r = (SELECT max(r) FROM c y WHERE y.user_id = c.user_id))
+@query(f"""WITH {EV}, {_STAGE}, c AS (SELECT *, event_id % 10 AS r FROM sg WHERE event_id % 10 < 3), l AS (SELECT * FROM c WHERE r = (SELECT max(r) FROM c y WHERE y.user_id = c.user_id))
 SELECT user_id AS short, event_id AS pos, ms AS s, ms + 1 AS e FROM l UNION ALL SELECT DISTINCT user_id, 0, 0, {HI} FROM ev WHERE user_id NOT IN (SELECT user_id FROM l)""")
 def pieces_before(spark: SparkSession, d: str) -> DataFrame:
-    snaps = _staged(spark, d).where("event_id % 4 = 0").select(F.col("user_id").alias("short"), "stage", F.col("event_id").alias("pos"), F.col("ms").alias("s"), (F.col("ms") + 1).alias("e"))
+    snaps = _staged(spark, d).select(F.col("user_id").alias("short"), "stage", F.col("event_id").alias("pos"), F.col("ms").alias("s"), (F.col("ms") + 1).alias("e"))
     shorts = users(spark, d).select(F.col("user_id").alias("short"), "duration")
     return document.pieces_before(snaps, shorts, "captions")
 
