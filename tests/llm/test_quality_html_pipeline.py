@@ -11,11 +11,11 @@ from tidemark.llm.common import Scratch
 SF = "/root/testdata/sf0.001"
 
 
-def naive_kn(texts, order=4):
+def naive_kn(texts, order=4, code=lambda c: c):
     """Interpolated modified Kneser-Ney by dicts; returns p(gram)."""
     grams = collections.Counter()
     for t in texts:
-        a = [2] * (order - 1) + [ord(c) for c in t] + [3]
+        a = [2] * (order - 1) + [code(ord(c)) for c in t] + [3]
         for i in range(order - 1, len(a)):
             grams[tuple(a[i - order + 1 : i + 1])] += 1
     levels = {order: grams}
@@ -78,10 +78,45 @@ def test_junk_goes_and_clean_documents_stay(spark, monkeypatch):
     assert len(got) == docs.count()
     assert sum(got[i][0] for i in range(400)) >= 392 and not any(got[1000 + i][0] for i in range(20))
     assert all(got[k][0] for k in (2000, 2001, 2002, 2003, None))
-    monkeypatch.setattr(quality, "BROADCAST_ENTRIES", 0)  # by shards of the model
+    monkeypatch.setattr(quality, "SHARD_ENTRIES", 50)  # many files
     again = {r.doc_id: (r["__accepted"], r["__loss"]) for r in quality.classify(docs, labels).collect()}
-    assert {k: v[0] for k, v in again.items()} == {k: v[0] for k, v in got.items()}
-    assert all((a[1] is None) == (b[1] is None) or k in (2002,) for (k, a), b in zip(sorted(got.items(), key=repr), (again[k] for k, _ in sorted(got.items(), key=repr))))
+    assert again == got
+
+
+def test_losses_limits_and_verdicts_by_brute_force(spark):
+    rnd = random.Random(5)
+    make = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 50)))
+    letters = {"a": "abcd e", "b": "wxyz 漢😀", None: "mnop", "": "qrst"}
+    docs = [(i, lang, make(x), i, i, i) for i, (lang, x) in enumerate((k, v) for _ in range(40) for k, v in letters.items())]
+    docs += [(900, "a", "zzzz" * 40, 0, 0, 0), (901, "a", None, 0, 0, 0), (902, "b", " ", 0, 0, 0), (903, "c", "new", 0, 0, 0), (904, "a", "abcd " * 30_000, 0, 0, 0), (3, None, "mnop", 0, 0, 0), (900, "a", "zzzz" * 40, 0, 0, 0)]
+    df = spark.createDataFrame(docs, "doc_id long, lang string, text string, row int, __row int, language_code int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(160)], "doc_id long, quality int, toxic int")
+    got = quality.classify(df, labels)
+    assert got.columns == [*df.columns, "__loss", "__limit", "__accepted"]
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) AS h").collect()}
+    trusted = {k: [d[2] for d in docs if d[0] < 160 and d[1] == k] for k in letters}
+    losses, limits = {}, {}
+    for k, texts in trusted.items():
+        p = naive_kn([t for t in texts if hashes[t] % quality.HELD_OUT], code=lambda c: c if c < 0x10000 else 0xE000 + c % 0x1900)
+
+        def loss(t, p=p):
+            a = [2, 2, 2, *(c if c < 0x10000 else 0xE000 + c % 0x1900 for c in map(ord, t)), 3]
+            return sum(-math.log(p(tuple(a[i - 3 : i + 1]))) for i in range(3, len(a))) / (len(a) - 3)
+
+        losses[k] = loss
+        held = sorted(round(loss(t), 4) for t in texts if hashes[t] % quality.HELD_OUT == 0)
+        limits[k] = held[math.ceil(quality.QUANTILE * len(held)) - 1]
+    seen = 0
+    for r in got.collect():
+        if r.lang not in losses or not (r.text or "").strip():
+            assert r["__loss"] is None and r["__accepted"]
+            continue
+        seen += 1
+        if len(r.text) < 1000:
+            assert abs(r["__loss"] - losses[r.lang](r.text)) < 1e-3
+        assert abs(r["__limit"] - limits[r.lang]) < 1e-3 and r["__accepted"] == (r["__loss"] <= r["__limit"])
+    assert seen == 164 and not any(r["__accepted"] for r in got.where("doc_id = 900").collect())
+    assert quality.classify(df.limit(0), labels).collect() == [] and all(r["__accepted"] for r in quality.classify(df, labels.limit(0)).collect())
 
 
 PAGE = (

@@ -2,39 +2,40 @@
 
 Counts of all character 4-grams of the trusted documents are summed by (language, gram); lower orders count distinct left
 neighbours; discounts come from the counts of counts. Joins by (language, context) shard turn counts into probabilities
-and back-off weights. A document's perplexity is taken word by word (the mean of its words' mean log-probabilities, so
-one number or key among good words weighs one word), and documents above a quantile of held-out trusted documents of
-their language and length class are rejected.
+and back-off weights. The model is written in files sorted by (language, order, gram); to score, the distinct grams of each block
+of documents are merged with those shards whose ranges they meet, read from the shared folder: neither the driver nor a
+broadcast ever holds the model. Documents whose perplexity is above a quantile of held-out trusted documents of their language are
+rejected.
 
-A quarter of the trusted texts, chosen by a hash of the text, is held out for the quantiles; the rest is trained on.
+A quarter of the trusted texts, chosen by a hash of the text, is held out for the quantiles; the rest is trained on. Characters
+beyond 16 bits share 6,400 codes, so that a gram fits 64 bits.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 ORDER = 4
 FLOOR = 1e-5  # probability of a character never seen
 QUANTILE = 0.995
 DIGITS = 4  # of a loss; sums of floats in another order agree so far
-#: Words from which a document belongs to the next length class, and held-out documents that a class needs for a
-#: quantile of its own; smaller ones take that of the whole language.
-CLASSES, LEAST_CLASS = (32, 256), 50
 HELD_OUT = 4
 CHUNK_CHARS = 1 << 21
-#: Entries of a model up to which it is broadcast (12 bytes each); trusted ids up to which they are (8 bytes each).
-BROADCAST_ENTRIES, BROADCAST_IDS = 4_000_000, 4_000_000
+#: Entries of one file of the model (24 bytes each in memory), and the bytes of such files that a process keeps.
+SHARD_ENTRIES, CACHE_BYTES = 250_000, 96 << 20
 _END, _START = 3, 2
-_BREAKS = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, _END], np.uint64)
 
 
 def _chars(text: str) -> np.ndarray:
@@ -54,15 +55,6 @@ def _grams(text: str) -> np.ndarray:
     return out
 
 
-def _word_weights(grams: np.ndarray) -> np.ndarray:
-    """A weight for each character so that each word weighs the same and all sum to 1; a break ends its word."""
-    stop = np.isin(grams & np.uint64(0xFFFF), _BREAKS)
-    word = np.concatenate([[0], np.cumsum(stop)[:-1]])
-    size = np.bincount(word)
-    use = size > 1 if (size > 1).any() else size > 0  # breaks alone are no words
-    return (use / np.maximum(size, 1) / use.sum())[word]
-
-
 def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of batches with at most CHUNK_CHARS characters (or one row), and their texts, null as empty."""
     for b in batches:
@@ -132,6 +124,18 @@ def train(trusted: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(both.groupBy("lang", "n", "gram").agg(F.max("p").alias("p"), F.max("weight").alias("weight")), "model")
 
 
+def _loss(grams: np.ndarray, look) -> np.ndarray:
+    """-log p of each ORDER-gram's last character, from the lowest order up; look(n, grams) -> probabilities and back-off weights,
+    NaN where there are none."""
+    prob = np.full(len(grams), FLOOR)
+    for n in range(1, ORDER + 1):
+        own = grams & np.uint64((1 << 16 * n) - 1) if n < ORDER else grams
+        p, _ = look(n, own)
+        _, weight = look(n - 1, own >> np.uint64(16))
+        prob = np.where(np.isnan(weight), prob, np.nan_to_num(p) + weight * prob)
+    return -np.log(prob)
+
+
 class Model:
     """One language's entries as sorted arrays."""
 
@@ -152,114 +156,117 @@ class Model:
         return np.where(hit, p[at], np.nan), np.where(hit, w[at], np.nan)
 
     def loss(self, grams: np.ndarray) -> np.ndarray:
-        """-log p of each ORDER-gram's last character, from the lowest order up."""
-        prob = np.full(len(grams), FLOOR)
-        for n in range(1, ORDER + 1):
-            own = grams & np.uint64((1 << 16 * n) - 1) if n < 4 else grams
-            p, _ = self._look(n, own)
-            _, weight = self._look(n - 1, own >> np.uint64(16))
-            prob = np.where(np.isnan(weight), prob, np.nan_to_num(p) + weight * prob)
-        return -np.log(prob)
-
-
-def _words(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))
-
-
-def _score(docs: DataFrame, model: DataFrame, lang: str, text: str, out: str, scratch: Scratch) -> DataFrame:
-    """Adds the mean loss by word (null without a model of the language or without text) as `out`."""
-    size = model.count()
-    if size > BROADCAST_ENTRIES:
-        return _score_sharded(docs, model, lang, text, out, scratch)
-    table = model.toArrow()
-    langs = np.array([x or "" for x in table.column("lang").to_pylist()], dtype=object)
-    col = lambda c, kind: table.column(c).to_numpy().astype(kind)
-    rows = {"n": col("n", np.int8), "gram": col("gram", np.int64), "p": col("p", np.float32), "weight": col("weight", np.float32)}
-    parts = {x: {k: v[langs == x] for k, v in rows.items()} for x in set(langs)}
-    shared = docs.sparkSession.sparkContext.broadcast(parts)
+        return _loss(grams, self._look)
+
+
+class Shards:
+    """A model in sorted files of the shared folder: the sorted grams of a block of documents are merged with those shards whose
+    ranges they meet. A process keeps at most CACHE_BYTES of shards, so memory does not grow with the model."""
+
+    def __init__(self, index: list[tuple[str, str, int, int, int]]):
+        self.ranges: dict[tuple[str, int], list[tuple[str, int, int]]] = {}
+        for file, lang, n, lo, hi in index:
+            self.ranges.setdefault((lang, n), []).append((file, lo, hi))
+        self.held: OrderedDict[str, tuple[int, dict]] = OrderedDict()
+
+    def __contains__(self, lang: str) -> bool:
+        return (lang, ORDER) in self.ranges
+
+    def _shard(self, file: str) -> dict:
+        if file not in self.held:
+            files, path = fs.FileSystem.from_uri(file)
+            with files.open_input_file(path) as f:
+                t = pq.read_table(f)
+            cols = {c: t.column(c).to_numpy() for c in ("gram", "p", "weight")}
+            langs, n = t.column("lang").combine_chunks(), t.column("n").to_numpy()
+            same = np.asarray(pc.equal(langs[1:], langs[:-1])) & (n[1:] == n[:-1]) if len(n) > 1 else np.zeros(0, bool)
+            cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), len(n)]
+            parts = {(langs[a].as_py(), int(n[a])): tuple(cols[c][a:b] for c in cols) for a, b in zip(cuts, cuts[1:]) if b > a}
+            while self.held and sum(x[0] for x in self.held.values()) + 24 * len(n) > CACHE_BYTES:
+                self.held.popitem(last=False)
+            self.held[file] = (24 * len(n), parts)
+        self.held.move_to_end(file)
+        return self.held[file][1]
+
+    def _look(self, lang: str, n: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        want, back = np.unique(grams.view(np.int64), return_inverse=True)
+        p, w = np.full(len(want), np.nan), np.full(len(want), np.nan)
+        for file, lo, hi in self.ranges.get((lang, n), ()):
+            a, b = np.searchsorted(want, lo), np.searchsorted(want, hi, "right")
+            if a < b:
+                g, gp, gw = self._shard(file)[lang, n]
+                at = np.minimum(np.searchsorted(g, want[a:b]), len(g) - 1)
+                hit = g[at] == want[a:b]
+                p[a:b][hit], w[a:b][hit] = gp[at][hit], gw[at][hit]
+        return p[back], w[back]
+
+    def loss(self, lang: str, grams: np.ndarray) -> np.ndarray:
+        return _loss(grams, lambda n, x: self._look(lang, n, x))
+
+
+def shards(model: DataFrame, scratch: Scratch, entries: int) -> list[tuple[str, str, int, int, int]]:
+    """Writes the model in files sorted by (lang, n, gram) and returns their ranges, a row for each file, language and order."""
+    parts = max(1, -(-model.count() // entries))
+    table = scratch.save(model.repartitionByRange(parts, "lang", "n", "gram").sortWithinPartitions("lang", "n", "gram"), "shards")
+    ranges = table.groupBy(F.input_file_name().alias("file"), "lang", "n").agg(F.min("gram").alias("lo"), F.max("gram").alias("hi"))
+    return [tuple(r) for r in ranges.orderBy("lang", "n", "lo").collect()]
+
+
+def _score(docs: DataFrame, index: list[tuple], code: Column, text: str, out: str) -> DataFrame:
+    """Adds a document's mean loss by character (null without a model of the language or without text) as `out`."""
+    (code_name,) = fresh(docs, "language_code")
+    src = docs.withColumn(code_name, code)
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # a row for each file, language and order
     fields = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = {x: Model(r) for x, r in shared.value.items()}
+        model = Shards(shared.value)
         for b, texts in _runs(batches, text):
-            own = np.array([x or "" for x in b.column(lang).to_pylist()], dtype=object)
+            own = np.array(b.column(code_name).to_pylist(), dtype=object)
             loss: list[float | None] = [None] * len(texts)
-            for x in set(own):
-                rows_ = [i for i in np.flatnonzero(own == x) if texts[i].strip()]
-                if x not in models or not rows_:
+            for x in sorted(set(own)):
+                rows = [i for i in np.flatnonzero(own == x) if texts[i].strip()]
+                if x not in model or not rows:
                     continue
-                grams = [_grams(texts[i]) for i in rows_]
+                grams = [_grams(texts[i]) for i in rows]
                 seen, at = np.unique(np.concatenate(grams), return_inverse=True)
-                each = models[x].loss(seen)[at]
+                each = model.loss(x, seen)[at]
                 begin = 0
-                for i, g in zip(rows_, grams):
-                    loss[i] = round(float((each[begin : begin + len(g)] * _word_weights(g)).sum()), DIGITS)
+                for i, g in zip(rows, grams):
+                    loss[i] = round(float(each[begin : begin + len(g)].mean()), DIGITS)
                     begin += len(g)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(loss, pa.float64())], names=[*b.schema.names, out])
-
-    return docs.mapInArrow(run, StructType([*fields.fields, StructField(out, DoubleType())]))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(fields)], pa.array(loss, pa.float64())], names=[*fields.names, out])
 
-
-def _score_sharded(docs: DataFrame, model: DataFrame, lang: str, text: str, out: str, scratch: Scratch) -> DataFrame:
-    """The same for models of any size: each document's distinct grams and weights are joined to the model's shards."""
-    rows = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in _runs(batches, "t"):
-            for row, x, t in zip(b.column("row").to_pylist(), b.column("lang").to_pylist(), texts):
-                if t.strip():
-                    g = _grams(t)
-                    seen, at = np.unique(g, return_inverse=True)
-                    w = np.bincount(at, weights=_word_weights(g))
-                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(seen), pa.int64()), pa.array([x] * len(seen), pa.string()), pa.array(seen.view(np.int64)), pa.array(w)], names=["row", "lang", "gram", "w"])
-
-    grams = rows.select(F.col("__row").alias("row"), F.col(lang).alias("lang"), F.col(text).alias("t")).mapInArrow(run, "row long, lang string, gram long, w double")
-    grams = scratch.save(grams.withColumn("lang", F.coalesce("lang", F.lit(""))), "grams")
-    distinct = grams.select("lang", "gram").distinct().join(model.select(F.coalesce("lang", F.lit("")).alias("lang")).distinct(), "lang", "left_semi")
-    level = model.select(F.coalesce("lang", F.lit("")).alias("lang"), F.col("n").alias("mn"), F.col("gram").alias("mg"), F.col("p").alias("mp"), F.col("weight").alias("mw"))
-    distinct = distinct.withColumn("prob", F.lit(FLOOR))
-    for n in range(1, ORDER + 1):
-        own = F.col("gram").bitwiseAND(F.lit((1 << 16 * n) - 1)) if n < 4 else F.col("gram")
-        distinct = distinct.withColumn("own", own).withColumn("ctx", F.expr("shiftrightunsigned(own, 16)"))
-        p = level.where(F.col("mn") == n).select("lang", F.col("mg").alias("own"), "mp").where("mp IS NOT NULL")
-        w = level.where(F.col("mn") == n - 1).select("lang", F.col("mg").alias("ctx"), "mw").where("mw IS NOT NULL")
-        distinct = distinct.join(p, ["lang", "own"], "left").join(w, ["lang", "ctx"], "left")
-        mixed = F.coalesce("mp", F.lit(0.0)) + F.col("mw") * F.col("prob")
-        distinct = distinct.select("lang", "gram", F.when(F.col("mw").isNull(), F.col("prob")).otherwise(mixed).alias("prob"))
-    scores = grams.join(distinct, ["lang", "gram"]).groupBy("row").agg(F.round(F.sum(-F.log("prob") * F.col("w")), DIGITS).alias(out))
-    return rows.join(scores, rows["__row"] == scores["row"], "left").drop("__row", "row")
+    return src.mapInArrow(run, StructType([*fields.fields, StructField(out, DoubleType())]))
 
 
-def _class(words: Column) -> Column:
-    return sum((F.when(words >= n, 1).otherwise(0) for n in CLASSES), F.lit(0))
+def _code(lang: Column) -> Column:
+    """A name for each language; null is one of its own, apart from the empty one."""
+    return F.coalesce(F.concat(F.lit("="), lang.cast("string")), F.lit(""))
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
-    """The documents with all their columns and __loss, __limit (mean loss by word, and the most that is accepted) and
+    """The documents with all their columns and __loss, __limit (mean loss, and the most that is accepted) and
     __accepted boolean. exp of the losses are perplexities.
 
     `labels`: (key, quality, toxic); trusted are keys of which every label says quality 1 and toxic 0. Null or blank
     texts, and languages without a trusted document, have no loss or no limit and are accepted. A null language is one
-    of its own. Rows are kept one for one, repeated ones included.
+    of its own, as is an empty one. Rows are kept one for one, repeated ones included; texts of any length are read whole; equal
+    losses are equal verdicts; empty documents give an empty table, empty labels accept all. The three added columns are the
+    only names that must be free.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     ids = labels.groupBy(F.col(key).alias("tk")).agg(F.min("quality").alias("q"), F.max("toxic").alias("x")).where("q = 1 AND x = 0 AND tk IS NOT NULL").select("tk")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    base = docs.select(F.col(key).alias("k"), F.coalesce(lang, F.lit("")).alias("lang"), F.col(text).cast("string").alias("t"))
+    base = docs.select(F.col(key).alias("k"), _code(F.col(lang)).alias("lang"), F.col(text).cast("string").alias("t"))
     trusted = base.where(F.length(F.trim("t")) > 0).join(ids, F.col("k") == F.col("tk"), "left_semi")
     trusted = scratch.save(trusted.select("lang", "t", (F.pmod(F.xxhash64("t"), F.lit(HELD_OUT)) == 0).alias("held")), "trusted")
-    model = train(trusted.where("NOT held"), scratch)
-
-    held = _score(trusted.where("held").select("lang", "t"), model, "lang", "t", "loss", scratch).where("loss IS NOT NULL")
-    held = held.withColumn("cls", _class(_words(F.col("t"))))
-    at = F.percentile_approx("loss", F.lit(quantile), F.lit(10000))
-    by_lang = held.groupBy("lang").agg(at.alias("lang_limit"))
-    by_class = held.groupBy("lang", "cls").agg(F.when(F.count("*") >= LEAST_CLASS, at).alias("class_limit"))
-    limits = by_lang.withColumn("cls", F.explode(F.array(*map(F.lit, range(len(CLASSES) + 1))))).join(by_class, ["lang", "cls"], "left")
-    limits = scratch.save(limits.select(F.col("lang").alias("__l"), F.col("cls").alias("__c"), F.coalesce("class_limit", "lang_limit").alias("__limit")), "limits")
-    if limits.count() <= 100_000:
-        limits = F.broadcast(limits)
-    scored = _score(docs, model, lang, text, "__loss", scratch)
-    same = (F.coalesce(F.col(lang), F.lit("")) == F.col("__l")) & (_class(_words(F.coalesce(F.col(text), F.lit("")))) == F.col("__c"))
-    out = scored.join(limits, same, "left").drop("__l", "__c")
+    index = shards(train(trusted.where("NOT held"), scratch), scratch, SHARD_ENTRIES)
+
+    held = scratch.save(_score(trusted.where("held").select("lang", "t"), index, F.col("lang"), "t", "loss").where("loss IS NOT NULL").drop("t"), "held")
+    limits = held.groupBy("lang").agg(F.percentile_approx("loss", F.lit(quantile), F.lit(10000)).alias("limit")).collect()  # a row a language
+    scored = _score(docs, index, _code(F.col(lang)), text, "__loss")
+    limit = F.lit(None).cast("double")
+    if limits:
+        limit = F.create_map(*(x for r in limits for x in (F.lit(r["lang"]), F.lit(r["limit"]))))[_code(F.col(lang))]
+    out = scored.withColumn("__limit", limit)
     return out.withColumn("__accepted", F.coalesce(F.col("__loss") <= F.col("__limit"), F.lit(True)))
