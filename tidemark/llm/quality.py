@@ -35,6 +35,8 @@ HELD_OUT = 4
 CHUNK_CHARS = 1 << 21
 #: Entries of one file of the model (24 bytes each in memory), and the bytes of such files that a process keeps.
 SHARD_ENTRIES, CACHE_BYTES = 250_000, 96 << 20
+#: Trusted ids up to which they are broadcast (16 bytes each); beyond, documents and ids are joined by a shuffle, with equal results.
+BROADCAST_IDS = 4_000_000
 _END, _START = 3, 2
 
 
@@ -257,6 +259,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """
     scratch = Scratch(docs.sparkSession, "quality")
     ids = labels.groupBy(F.col(key).alias("tk")).agg(F.min("quality").alias("q"), F.max("toxic").alias("x")).where("q = 1 AND x = 0 AND tk IS NOT NULL").select("tk")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     base = docs.select(F.col(key).alias("k"), _code(F.col(lang)).alias("lang"), F.col(text).cast("string").alias("t"))
     trusted = base.where(F.length(F.trim("t")) > 0).join(ids, F.col("k") == F.col("tk"), "left_semi")
     trusted = scratch.save(trusted.select("lang", "t", (F.pmod(F.xxhash64("t"), F.lit(HELD_OUT)) == 0).alias("held")), "trusted")
