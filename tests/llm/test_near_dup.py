@@ -68,3 +68,25 @@ def test_every_coordinate_fills_and_agreement_follows_similarity():
     a, b = " ".join(w[:900]), " ".join(w[100:])
     same = (s.sketch(s.shingles(a)) == s.sketch(s.shingles(b))).mean()
     assert abs(same - 799 / 999) < 0.12
+
+
+def test_every_pair_right_at_the_threshold_is_found(spark):
+    docs = []
+    for i in range(300):  # 80 words in common of 100
+        w = [f"p{i}w{j}" for j in range(100)]
+        docs += [(2 * i, " ".join(w[:90])), (2 * i + 1, " ".join(w[:80] + w[90:]))]
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=1).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(300)) / 300 == 1.0  # measured recall
+
+
+def test_a_core_in_common_links_nothing_and_hides_no_link(spark):
+    rnd = random.Random(3)
+    core = [f"c{j}" for j in range(80)]
+    own = lambda i, n: [f"t{i}w{j}" for j in range(n)]
+    docs = [" ".join(core + own(i, 25)) for i in range(60)]  # similar to one another by 80 / 130
+    docs += [" ".join(core[:-1] + own(i, 25) + ["x"]) for i in range(0, 60, 3)]  # near copies of a third of them
+    docs += [" ".join(core[: rnd.randint(60, 80)] + own(i, rnd.randint(5, 40))) for i in range(100, 140)]
+    docs = list(enumerate(docs))
+    rnd.shuffle(docs)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=1).collect()}
+    assert got == brute(docs, 1)

@@ -8,8 +8,10 @@ that of t independent ones.
 Candidates share all coordinates of one band; equal sets are one class from the start and only classes are compared.
 Links are confirmed on the full shingle sets. Within a bucket each class meets the least one (a star). Where stars leave
 different components in a bucket, each class meets the one with the fewest shingles that are its own alone, and at last
-any pair of which an exact bound allows a link: folds of 2,048 bits that never differ in more bits than the sets differ in
-shingles. So a group of n near copies costs about n comparisons, and no link between components is missed. Components, buckets and texts live in tables in the shared folder.
+those with which it shares one of its rarest shingles: by the prefix principle two linked sets always do, while texts that have only a
+frequent core in common never meet. Pairs are compared only where an exact bound allows a link: folds of 2,048 bits never differ
+in more bits than the sets differ in shingles. So a group of n near copies costs about n comparisons, and no link between
+components is missed. Components, buckets and texts live in tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -166,8 +168,8 @@ def _folds(texts: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return texts.select("node", "t").mapInArrow(run, "node long, " + ", ".join(f"{f} long" for f in FOLDS))
 
 
-def _own_shingles(texts: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(node, own): how many shingles of a node no other of these nodes has. texts: (node, t)."""
+def _shingle_rows(texts: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """(node, shingle): a row for each shingle hash of (node, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = _SKETCHERS.setdefault((width, bands, rows), Sketcher(width, bands, rows))
@@ -176,9 +178,19 @@ def _own_shingles(texts: DataFrame, width: int, bands: int, rows: int) -> DataFr
                 s = sketcher.shingles(t)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(s.view(np.int64))], names=["node", "shingle"])
 
-    each = texts.select("node", "t").mapInArrow(run, "node long, shingle long")
-    alone = each.groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("c")).where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
-    return texts.select("node").join(alone, "node", "left").select("node", F.coalesce("own", F.lit(0).cast("long")).alias("own"))
+    return texts.select("node", "t").mapInArrow(run, "node long, shingle long")
+
+
+def _prefixes(each: DataFrame, often: DataFrame, own: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """(shingle, node, short): of each set in order of rarity as many shingles as a set must share one of with any set that it can be
+    linked to. Of two linked sets the smaller one has it among its `short` ones: it shares 2 num / (num + den) of its own, the
+    larger one num / den. Shingles that are a set's own come first and lead nowhere, so only the others are rows."""
+    up = lambda a, b: F.floor((a + b - 1) / b)
+    shared = each.join(often, "shingle")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("c", "shingle"))
+    at = shared.withColumn("rank", rank).join(own, "node").join(sizes, "node").withColumn("at", F.col("rank") + F.col("own"))
+    long_, short = (F.col("n") - up(F.col("n") * p, F.lit(q)) + 1 for p, q in ((num, den), (2 * num, num + den)))
+    return at.where(F.col("at") <= long_).select("shingle", "node", (F.col("at") <= short).alias("short"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -312,21 +324,32 @@ def near_duplicates(
         bits = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{x}.{f}").bitwiseXOR(F.col(f"{y}.{f}"))) for f in FOLDS))
         return close(x, y) & (bits * (den + num) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (den - num))
 
-    # a second star around the class that has the least of its own, then whatever pairs are still possible
-    own = scratch.save(_own_shingles(left, width, bands, rows), "own")
+    # a second star around the class that has the least of its own
+    each = scratch.save(_shingle_rows(left, width, bands, rows), "shingles")
+    often = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node"))
+    often = scratch.save(often, "often")
+    alone = often.where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
+    own = scratch.save(left.select("node").join(alone, "node", "left").select("node", F.coalesce("own", F.lit(0).cast("long")).alias("own")), "own")
     best = members.join(own, "node").join(nodes.select("node", "n"), "node").groupBy("band").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("part"), "node")).alias("best"))
     hub = members.join(best, "band").select(F.col("node").alias("a"), F.col("best.node").alias("b")).where("a <> b")
     a, b = facts.alias("x"), facts.alias("y")
     hub = labelled(hub.distinct()).where("ca <> cb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     extend(hub.join(a, F.col("a") == F.col("x.node")).join(b, F.col("b") == F.col("y.node")).where(possible("x", "y")).select("a", "b"), "-hubs")
 
-    # the largest component of a bucket needs no pairs of its own: only what is outside of it meets all others
-    members = scratch.save(apart().join(facts, "node"), "apart")
-    major = members.groupBy("band", "c").agg(F.count("*").alias("size")).groupBy("band").agg(F.max_by("c", F.struct("size", "c")).alias("major"))
-    x, y = members.join(major, "band").where("c <> major").alias("x"), members.alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & possible("x", "y"))
-    rest = rest.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    extend(rest, "-rest")
+    # whatever links are left share a rare shingle: buckets by those, of several components, however large the band was
+    scratch.drop(members)
+    members = scratch.save(apart().select("node", "c").distinct().join(facts, "node"), "apart")
+    inside = members.select("node", F.col("c").alias("comp"))
+    rare = _prefixes(each.join(inside.select("node"), "node", "left_semi"), often.where("c > 1").select("shingle", "c"), own, nodes.select("node", "n"), num, den)
+    rare = scratch.save(rare.join(inside, "node"), "rare")
+    mixed = rare.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("short").alias("any")).where("lo <> hi AND any").select("shingle")
+    rare = rare.join(mixed, "shingle", "left_semi")
+    x, y = rare.alias("p"), rare.where("short").alias("q")
+    met = x.join(y, (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.comp") != F.col("q.comp")))
+    met = met.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct()
+    a, b = facts.alias("x"), facts.alias("y")
+    extend(met.join(a, F.col("a") == F.col("x.node")).join(b, F.col("b") == F.col("y.node")).where(possible("x", "y")).select("a", "b"), "-rest")
+    scratch.drop(each, often, rare)
     scratch.drop(texts, buckets, members)
 
     named = classes.join(labels, "node", "left").select("fp", "low", F.coalesce("comp", "node").alias("comp"))
