@@ -32,6 +32,7 @@ BANDS, ROWS = 40, 5
 MARK_SIGMAS = 8
 FOLD_BITS = 2048
 FOLDS = [f"f{i}" for i in range(FOLD_BITS // 64)]
+BRIEF = 8  # words of a fold of 512 bits: folds of folds keep the bound
 CACHE_WORDS = 500_000
 _M = (1 << 64) - 1
 
@@ -339,16 +340,20 @@ def near_duplicates(
     # whatever links are left share a rare shingle: buckets by those, of several components, however large the band was
     scratch.drop(members)
     members = scratch.save(apart().select("node", "c").distinct().join(facts, "node"), "apart")
-    inside = members.select("node", F.col("c").alias("comp"))
+    brief = [reduce(lambda p, q: p.bitwiseXOR(q), (F.col(f) for f in FOLDS[i::BRIEF])).alias(f"b{i}") for i in range(BRIEF)]
+    inside = members.select("node", F.col("c").alias("comp"), "n", *marks, *brief)
     rare = _prefixes(each.join(inside.select("node"), "node", "left_semi"), often.where("c > 1").select("shingle", "c"), own, nodes.select("node", "n"), num, den)
-    rare = scratch.save(rare.join(inside, "node"), "rare")
+    rare = scratch.save(rare.join(inside.select("node", "comp"), "node"), "rare")
     mixed = rare.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("short").alias("any")).where("lo <> hi AND any").select("shingle")
-    rare = rare.join(mixed, "shingle", "left_semi")
+    rare = rare.join(mixed, "shingle", "left_semi").join(inside.drop("comp"), "node")
     x, y = rare.alias("p"), rare.where("short").alias("q")
-    met = x.join(y, (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.comp") != F.col("q.comp")))
-    met = met.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct()
+    # the bounds are part of the join, on folds of a quarter of the bits; what is left meets the whole folds below
+    bits = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"p.b{i}").bitwiseXOR(F.col(f"q.b{i}"))) for i in range(BRIEF)))
+    near = close("p", "q") & (bits * (den + num) <= (F.col("p.n") + F.col("q.n")) * (den - num))
+    met = x.join(y, (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.comp") != F.col("q.comp")) & (F.col("p.n") >= F.col("q.n")) & near)
+    met = met.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b"))
     a, b = facts.alias("x"), facts.alias("y")
-    extend(met.join(a, F.col("a") == F.col("x.node")).join(b, F.col("b") == F.col("y.node")).where(possible("x", "y")).select("a", "b"), "-rest")
+    extend(met.distinct().join(a, F.col("a") == F.col("x.node")).join(b, F.col("b") == F.col("y.node")).where(possible("x", "y")).select("a", "b"), "-rest")
     scratch.drop(each, often, rare)
     scratch.drop(texts, buckets, members)
 
