@@ -199,6 +199,22 @@ def test_one_of_each_group_stays(spark, rows):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6]
 
 
+def test_pipeline_stages_take_odd_rows_and_keep_every_column(spark, tmp_path):
+    a = "one two three four five six seven eight nine ten"
+    rows = [(1, a, "en", "s", 1), (2, a + " eleven", "en", None, 1), (3, None, None, "s", None), (4, "", "en", "s", 0), (5, "long " * 100_000, "xx", "s", 1), (None, a, "en", "s", 1), (6, "call joe@site.org now", "en", "s", 1), (6, "call joe@site.org now", "en", "s", 1)]
+    docs = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row int, __row int, found_key int")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "x y z"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert near_dup.drop_near_duplicates(docs).columns == docs.columns
+    for frame in (docs, docs.limit(0)):
+        out = frame
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = Scratch(spark, "odd").save(stage(spark, out, str(tmp_path)), "out")
+            assert i == 4 or out.columns == list(corpus_pipeline.COLUMNS)
+        got = [r.doc_id for r in out.collect()]
+        assert got == [] or {3, 4, 5, 6} <= set(got) and len({1, 2, None} & set(got)) == 1
+
+
 def test_pipeline_stages_against_their_own_inputs(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = None

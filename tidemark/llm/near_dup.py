@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 BANDS, ROWS = 40, 5
 #: Two sets of similarity 0.8 or more differ in more of the 200 one-bit marks than this with probability under 1e-10.
@@ -379,8 +379,10 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     Among rows that repeat a key, those with a text that stays are kept once.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
-    rows = docs.withColumn("__row", F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text).cast("string")).alias("hash")))
-    stay = scratch.save(near_duplicates(rows, "__row", text, width, similarity).where("first").select("__row"), "stay").distinct()
-    kept = rows.join(stay.select(F.col("__row.key").alias("sk"), F.col("__row.hash").alias("sh")), F.col("__row.key").eqNullSafe(F.col("sk")) & (F.col("__row.hash") == F.col("sh")), "left_semi")
-    twice = rows.groupBy("__row").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates([key, text]) if twice else kept).drop("__row")
+    row, sk, sh = fresh(docs, "row_of", "kept_key", "kept_hash")
+    rows = docs.withColumn(row, F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text).cast("string")).alias("hash")))
+    stay = scratch.save(near_duplicates(rows, row, text, width, similarity).where("first").select(row), "stay").distinct()
+    stay = stay.select(F.col(f"{row}.key").alias(sk), F.col(f"{row}.hash").alias(sh))
+    kept = rows.join(stay, F.col(f"{row}.key").eqNullSafe(F.col(sk)) & (F.col(f"{row}.hash") == F.col(sh)), "left_semi")
+    twice = rows.groupBy(row).count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates([key, text]) if twice else kept).drop(row)
