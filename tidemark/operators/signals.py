@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,11 +49,12 @@ def median_smooth(df: DataFrame, key: Key, value: str, out: str, k: int = 5, i:
     return df.withColumn(out, F.percentile(value, 0.5).over(order))
 
 
-def loud_run(ranges: DataFrame, frames: DataFrame, key: Key, need: int = 12, edge: int = 3) -> DataFrame:
+def loud_run(ranges: DataFrame, frames: DataFrame, key: Key, need: int = 12, edge: int = 3, middle: Column | None = None) -> DataFrame:
     """Adds loud: at least `need` frames of [x + edge, y - edge) stand above the level th of the range's middle frame.
-    ranges: (key, x, y) in frames; frames: (key, i, v, th), th as `threshold` with frac 0.5 gives it."""
+    ranges: (key, x, y) in frames, distinct; frames: (key, i, v, th), th as `threshold` with frac 0.5 gives it. middle: another
+    frame than floor((x + y) / 2)."""
     mid = frames.select(*key, F.col("i").alias("__m"), F.col("th").alias("__th"))
-    r = ranges.withColumn("__m", F.floor((F.col("x") + F.col("y")) / 2)).join(mid, [*key, "__m"], "left")
+    r = ranges.withColumn("__m", F.floor((F.col("x") + F.col("y")) / 2) if middle is None else middle).join(mid, [*key, "__m"], "left")
     near = _with_frames(r, frames, key, F.col("x") + edge, F.col("y") - edge)
     return near.groupBy(*ranges.columns).agg((F.count(F.when(F.col("v") > F.col("__th"), 1)) >= need).alias("loud"))
 
@@ -70,9 +72,10 @@ def scan(marks: DataFrame, frames: DataFrame, key: Key, forward: bool = True, qu
 
     marks: (key, mark, start, limit) in frames; the scan goes from `start` towards `limit` (not included) and ends after
     `quiet` frames in a row that are not above th. forward: one past the last loud frame, or start + 1 without any;
-    backward: the first loud frame, or start. frames: (key, i, v, th). The level is that of the mark's frame."""
+    backward: the first loud frame, or start. frames: (key, i, v, th). The level is that of the mark's frame; a mark without
+    a frame finds nothing loud. Marks are distinct rows and may have more columns."""
     level = frames.select(*key, F.col("i").alias("mark"), F.col("th").alias("__th"))
-    m = marks.join(level, [*key, "mark"])
+    m = marks.join(level, [*key, "mark"], "left")
     first, end = (F.col("start"), F.col("limit")) if forward else (F.col("limit") + 1, F.col("start") + 1)
     near = _with_frames(m, frames, key, first, end).withColumn("__loud", (F.col("v") > F.col("__th")).cast("int"))
     step = Window.partitionBy(*marks.columns).orderBy(F.col("__i") if forward else F.col("__i").desc())
@@ -86,6 +89,38 @@ def scan(marks: DataFrame, frames: DataFrame, key: Key, forward: bool = True, qu
     return near.groupBy(*marks.columns).agg(edge.alias("edge"))
 
 
+def sound(frames: DataFrame, key: Key, value: str = "db", half: int = 100, floor: float | None = FLOOR_DB) -> DataFrame:
+    """(key, i, v, th, th_run, n): smoothed levels, the levels for edges (0.35) and for runs (0.5) and the number of frames.
+    `half` rows without v follow the last frame, as a mark there still has frames in reach. Edges and runs read this table
+    several times, so a caller with many frames writes it first."""
+    f = smooth3(frames.select(*key, F.col("i").cast("long").alias("i"), F.col(value).alias("__raw")), key, "__raw", "v")
+    last = frames.groupBy(*key).agg((F.max("i") + 1).cast("long").alias("__n"))
+    after = last.select(*key, F.explode(F.sequence(F.col("__n"), F.col("__n") + half - 1)).alias("i"), F.lit(None).cast("double").alias("__raw"), F.lit(None).cast("double").alias("v"))
+    both = f.select(*key, "i", "__raw", "v").unionByName(after)
+    both = threshold(threshold(both, key, "__raw", "th", floor=floor, half=half), key, "__raw", "th_run", 0.5, floor, half)
+    return both.withColumn("n", F.count("__raw").over(Window.partitionBy(*key))).drop("__raw")
+
+
+def _frame(t: Column, fps: float) -> Column:
+    return F.floor(t * fps)
+
+
+def edges(marks: DataFrame, heard: DataFrame, key: Key, forward: bool = True, fps: float = FPS, quiet: int = QUIET_FRAMES) -> DataFrame:
+    """Adds edge, in seconds: where sound near `at` ends (forward) or begins, looked for up to `limit`.
+
+    marks: (key, at, limit, ...), distinct rows, in seconds; heard: as `sound` gives it. The scan begins 0.2 s before `at`
+    (backward: 0.15 s after it), within the frames. Without frames of the key the edge is `at`."""
+    rest = [c for c in marks.columns if c not in key]
+    size = heard.groupBy(*key).agg(F.max("n").alias("__n"), F.max("i").alias("__last"))
+    held = lambda t: F.greatest(F.lit(0), F.least(_frame(t, fps), F.col("__n") - 1))
+    begin = held(F.col("at") - 0.2) if forward else held(F.col("at") + 0.15)
+    m = marks.select(*key, F.struct(*rest).alias("__row"), "at", "limit").join(size, list(key), "left")
+    m = m.select(*key, "__row", "__n", F.least(_frame(F.col("at"), fps), "__last").alias("mark"), begin.alias("start"), held(F.col("limit")).alias("limit"))
+    some = scan(m, heard.select(*key, "i", "v", "th"), key, forward, quiet)
+    at = F.when(F.col("__n") > 0, F.col("edge") / F.lit(float(fps))).otherwise(F.col("__row.at"))
+    return some.select(*key, "__row.*", at.alias("edge"))
+
+
 def guard_cut(cuts: DataFrame, frames: DataFrame, key: Key, level: float = -8.0, quiet: int = 12) -> DataFrame:
     """Adds ga, gb: a cut [a, b) in frames pulled in while its edges are louder than `level`; a dip of up to `quiet`
     frames does not stop it; ga = gb = a if nothing is left. frames: (key, i, v)."""
@@ -137,30 +172,74 @@ def two_mics(stats: DataFrame) -> DataFrame:
     return stats.withColumn("two_mics", live & ~copy)
 
 
-def douglas_peucker(df: DataFrame, key: Key, tol: float, v_weight: float = 1.3) -> DataFrame:
-    """(key, t) of the points that a path (key, t, u, v) keeps: the farthest from the chord, strictly over `tol`, splits
-    it. One key's path is simplified in one task."""
-
-    def keep(ts, us, vs):
-        stay, todo = {0, len(ts) - 1}, [(0, len(ts) - 1)]
-        while todo:
-            a, b = todo.pop()
-            best, at = tol, None
-            for i in range(a + 1, b):
-                part = (ts[i] - ts[a]) / (ts[b] - ts[a]) if ts[b] > ts[a] else 0.0
-                far = max(abs(us[i] - us[a] - part * (us[b] - us[a])), v_weight * abs(vs[i] - vs[a] - part * (vs[b] - vs[a])))
-                if far > best:
-                    best, at = far, i
-            if at is not None:
-                stay.add(at)
-                todo += [(a, at), (at, b)]
-        return sorted(stay)
+def path_levels(df: DataFrame, key: Key, v_weight: float = 1.3) -> DataFrame:
+    """(key, t, level): the largest tolerance below which a path (key, t, u, v) keeps the point; infinite at both ends.
+
+    Where a stretch is split does not depend on the tolerance: always at its point farthest from the chord (the first of
+    several). So one tree of splits serves all tolerances, and a point's level is the least distance on the way to it.
+    One key's path is one task's; the tree is cut breadth first, so its depth costs no stack."""
+
+    def levels(t: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(t))
+        out[[0, -1]] = np.inf
+        stretches = [(0, len(t) - 1, np.inf)]
+        while stretches:
+            deeper = []
+            for a, b, above in stretches:
+                if b - a < 2 or above <= 0:
+                    continue
+                part = (t[a + 1 : b] - t[a]) / ((t[b] - t[a]) or 1)
+                off = np.maximum(np.abs(u[a + 1 : b] - u[a] - part * (u[b] - u[a])), v_weight * np.abs(v[a + 1 : b] - v[a] - part * (v[b] - v[a])))
+                m = a + 1 + int(off.argmax())
+                out[m] = min(above, off.max())
+                deeper += [(a, m, out[m]), (m, b, out[m])]
+            stretches = deeper
+        return out
 
     def run(pdf):
         pdf = pdf.sort_values("t")
-        return pdf.iloc[keep(*(pdf[c].tolist() for c in ("t", "u", "v")))][[*key, "t"]]
+        return pdf[[*key, "t"]].assign(level=levels(*(pdf[c].to_numpy(float) for c in ("t", "u", "v"))))
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (*key, "t"))
+    return df.select(*key, "t", "u", "v").groupBy(*key).applyInPandas(run, f"{kinds}, level double")
 
-    return df.select(*key, "t", "u", "v").groupBy(*key).applyInPandas(run, df.select(*key, "t").schema)
+
+def douglas_peucker(df: DataFrame, key: Key, tol: float, v_weight: float = 1.3) -> DataFrame:
+    """(key, t) of the points that a path (key, t, u, v) keeps: the farthest from the chord, strictly over `tol`, splits it."""
+    return path_levels(df, key, v_weight).where(F.col("level") > tol).select(*key, "t")
+
+
+def chunk_track(df: DataFrame, key: Key, tols: Sequence[float], least: float, v_weight: float = 1.3) -> DataFrame:
+    """(key, chunk, s, e, u, v): steady parts of a moving track (key, t, u, v), with the medians of their points.
+
+    A track of span T has at most floor(T / least) parts, one at least. The first tolerance that keeps to it is used, else
+    the last one. Bounds follow one another, and the end, by `least` or more; while there are too many, the bound whose
+    neighbours are closest goes (the first of several). A point on a bound belongs to the later part. t is double."""
+    path = path_levels(df.withColumn("t", F.col("t").cast("double")), key, v_weight)
+    ends = path.groupBy(*key).agg(F.min("t").alias("t0"), F.max("t").alias("t1"), *(F.sum((F.col("level") > x).cast("int")).alias(f"__n{i}") for i, x in enumerate(tols)), F.array_sort(F.collect_list(F.when(F.col("level") > min(tols), F.struct("t", "level")))).alias("__p"))
+    most = F.greatest(F.lit(1), F.floor(F.greatest(F.col("t1") - F.col("t0"), F.lit(1e-6)) / least).cast("int"))
+    tol = F.lit(float(tols[-1]))
+    for i in range(len(tols) - 2, -1, -1):
+        tol = F.when(F.col(f"__n{i}") - 1 <= most, float(tols[i])).otherwise(tol)
+    ends = ends.withColumns({"__most": most, "__tol": tol})
+    inner = F.transform(F.filter("__p", lambda p: (p["level"] > F.col("__tol")) & (p["t"] > F.col("t0")) & (p["t"] < F.col("t1"))), lambda p: p["t"])
+    far = lambda a, t: (t - F.element_at(a, -1) >= least) & (F.col("t1") - t >= least)
+    ends = ends.withColumn("__b", F.aggregate(inner, F.array("t0"), lambda a, t: F.when(far(a, t), F.array_append(a, t)).otherwise(a)))
+    ends = ends.withColumn("__b", F.when(F.col("t1") > F.col("t0"), F.array_append("__b", F.col("t1"))).otherwise(F.array("t0", "t1")))
+
+    def thinner(a: Column, _: Column) -> Column:
+        gaps = F.transform(F.sequence(F.lit(2), F.size(a) - 1), lambda i: F.struct((F.get(a, i) - F.get(a, i - 2)).alias("gap"), i.alias("i")))
+        at = F.array_min(gaps)["i"]  # one-based place of the bound whose neighbours are closest
+        return F.filter(a, lambda x, i: i != at - 1)
+
+    over = F.greatest(F.size("__b") - 1 - F.col("__most"), F.lit(0))
+    ends = ends.withColumn("__b", F.when(over > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(over, F.lit(1))), F.col("__b"), thinner)).otherwise(F.col("__b")))
+    part = F.transform(F.sequence(F.lit(0), F.size("__b") - 2), lambda i: F.struct(i.alias("chunk"), F.get("__b", i).alias("s"), F.get("__b", i + 1).alias("e")))
+    # each point finds its part in the key's own array of bounds: the number of inner bounds that are not after it
+    points = df.select(*key, F.col("t").cast("double").alias("t"), "u", "v").join(ends.select(*key, "__b"), list(key))
+    n = F.size(F.filter(F.slice("__b", 2, F.greatest(F.size("__b") - 2, F.lit(0))), lambda x: x <= F.col("t")))
+    mid = points.groupBy(*key, n.alias("chunk")).agg(F.median("u").alias("u"), F.median("v").alias("v"))
+    return ends.select(*key, F.explode(part).alias("p")).select(*key, "p.*").join(mid, [*key, "chunk"])
 
 
 def smooth_bands(df: DataFrame, key: Key, value: str, out: str, limit: float, order: str = "band") -> DataFrame:

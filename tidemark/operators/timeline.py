@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timebase
+from .intervals import overlapping
+from .signals import edges
+from .turns import speaker_at
 
 Key = Sequence[str]
 
@@ -57,6 +60,26 @@ def timeline_words(words: DataFrame, pieces: DataFrame, key: Key, pos: str = "po
     return both.select(*key, pos, "t", "ws", at(F.greatest("ws", "s")).alias("ts"), at(F.least("we", "e")).alias("te"))
 
 
+def spoken_words(words: DataFrame, pieces: DataFrame, heard: DataFrame, spoken: DataFrame, key: Key, pos: str = "pos") -> DataFrame:
+    """(key, pos, idx, t, ts, te, spk): as `timeline_words`, but a word begins where its sound does, up to 0.25 s before its own
+    start and never before the word before or the piece, and carries the speaker at its start. Times in seconds; empty words
+    are left out. words: (key, idx, s, e, t), idx distinct; heard: `signals.sound`; spoken: turns (key, s, e, spk)."""
+    w = words.where("t <> ''").select(*key, "idx", "s", "e", "t")
+    w = w.withColumn("prev", F.coalesce(F.lag("e").over(Window.partitionBy(*key).orderBy("idx")), F.lit(0.0)))
+    w = speaker_at(w, spoken, key, 0.1, "s").withColumnsRenamed({"s": "ws", "e": "we"})
+    mid = (F.col("ws") + F.col("we")) / 2
+    # the middle of a word decides its piece: an overlap of a point, within bins of time
+    points = w.withColumns({"s": mid, "e": mid})
+    p = piece_starts(pieces, key, pos).select(*key, pos, "start", (F.col("s") - 1e-6).alias("s"), F.col("e"), F.col("s").alias("ps"))
+    both = overlapping(points, p, key, 10.0).where((F.col("ps") <= F.col("s")) & (F.col("s") < F.col("be")))
+    least = F.greatest(F.col("ws") - 0.25, "prev", "ps")
+    marks = both.select(*key, pos, "idx", "t", "spk", "start", "ps", F.col("be").alias("pe"), "ws", "we", least.alias("least"), F.col("ws").alias("at"), least.alias("limit"))
+    m = edges(marks, heard, key, False)
+    begin = F.greatest(F.least("ws", F.greatest("edge", "least")), "ps")
+    at = lambda x: F.col("start") + x - F.col("ps")
+    return m.select(*key, pos, "idx", "t", at(begin).alias("ts"), at(F.least("we", "pe")).alias("te"), "spk")
+
+
 class Canvas:
     """Target of a framing: size, where the head goes, and the margin that hides edges."""
 

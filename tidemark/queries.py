@@ -15,6 +15,7 @@ from .functions import text as tx
 from .functions import timebase as tb
 from .operators import captions as cp
 from .operators import entities as en
+from .operators import fine
 from .operators import intervals as iv
 from .operators import rules, selection, signals, timeline, turns
 from .plans import document
@@ -421,6 +422,105 @@ def guard_cut(spark: SparkSession, d: str) -> DataFrame:
     return signals.guard_cut(cuts, f, U, level=60, quiet=2)
 
 
+# A user's events as talk: ten frames of sound an event, quiet in errors and at the end of each; all but errors and sign-ups are words
+_SND = f"""{FR}, snd AS (SELECT user_id, i * 10 + k AS i, CASE WHEN event_type = 'error' OR k >= 7 THEN -45.0::DOUBLE ELSE 0.0::DOUBLE END + v * 0.013::DOUBLE AS db FROM fr, range(10) t(k)),
+sm AS (SELECT *, (coalesce(lag(db) OVER w, 0) + db + coalesce(lead(db) OVER w, 0)) / 3 AS es, count(*) OVER (PARTITION BY user_id) AS n FROM snd WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+size AS (SELECT user_id, max(n) AS n FROM sm GROUP BY user_id),
+tw AS (SELECT user_id, i AS idx, i * 0.2::DOUBLE AS s, i * 0.2::DOUBLE + 0.14::DOUBLE AS e, event_type || CASE event_id % 4 WHEN 0 THEN '.' WHEN 1 THEN '?' WHEN 2 THEN ',' ELSE '' END AS t FROM fr WHERE event_type NOT IN ('error', 'signup')),
+kp AS (SELECT user_id, i * 0.2::DOUBLE + 0.2::DOUBLE AS s, lead(i) OVER (PARTITION BY user_id ORDER BY i) * 0.2::DOUBLE AS e FROM fr WHERE event_type = 'signup')"""
+
+
+def talk(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Words, sound and kept ranges of the users' events as talk."""
+    f = frames(spark, d)
+    quiet = (F.col("event_type") == "error") | (F.col("k") >= 7)
+    snd = f.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    snd = snd.select("user_id", (F.col("i") * 10 + F.col("k")).alias("i"), (F.when(quiet, -45.0).otherwise(0.0) + F.col("v") * 0.013).alias("db"))
+    stop = F.element_at(F.array(F.lit("."), F.lit("?"), F.lit(","), F.lit("")), (F.col("event_id") % 4 + 1).cast("int"))
+    w = f.where("event_type NOT IN ('error', 'signup')").select("user_id", F.col("i").alias("idx"), (F.col("i") * 0.2).alias("s"), (F.col("i") * 0.2 + 0.14).alias("e"), F.concat("event_type", stop).alias("t"))
+    after = F.lead("i").over(Window.partitionBy("user_id").orderBy("i"))
+    kept = f.where("event_type = 'signup'").select("user_id", (F.col("i") * 0.2 + 0.2).alias("s"), (after * F.lit(0.2)).alias("e"))
+    return w, signals.sound(snd, U), kept.where("e > s")
+
+
+def _level(at: str, frac: float, of: str) -> str:
+    """Level around a mark, from the raw frames in reach of it."""
+    return f"(SELECT greatest(quantile_cont(db, 0.15) + {frac}::DOUBLE * (quantile_cont(db, 0.85) - quantile_cont(db, 0.15)), -28) FROM snd WHERE snd.user_id = {of}.user_id AND snd.i >= least(floor({at} * 50), {of}.n + 99) - 100 AND snd.i < least(floor({at} * 50), {of}.n + 99) + 100)"
+
+
+def _edge(name: str, src: str, forward: bool) -> str:
+    """CTE (user_id, rid, edge) of src (user_id, rid, tm, lim): the mark's loud frames before the first run of eight quiet ones."""
+    shift, near, rank = ("- 0.2", "i >= start AND i < stop", "i") if forward else ("+ 0.15", "i <= start AND i > stop", "-i")
+    return f"""{name}_m AS (SELECT user_id, rid, tm, n, greatest(0, least(floor((tm {shift}::DOUBLE) * 50), n - 1)) AS start, greatest(0, least(floor(lim * 50), n - 1)) AS stop FROM {src} JOIN size USING (user_id)),
+{name}_l AS (SELECT *, {_level('tm', 0.35, name + '_m')} AS level FROM {name}_m),
+{name}_f AS (SELECT m.user_id, rid, {rank} AS p, es > level AS loud FROM {name}_l m JOIN sm ON sm.user_id = m.user_id AND {near}),
+{name}_q AS (SELECT *, sum(CASE WHEN loud THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, rid ORDER BY p ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS q FROM {name}_f),
+{name}_s AS (SELECT user_id, rid, min(p) FILTER (q = 8) AS over_ FROM {name}_q GROUP BY ALL),
+{name}_h AS (SELECT f.user_id, f.rid, max(p) AS p FROM {name}_f f JOIN {name}_s USING (user_id, rid) WHERE loud AND (over_ IS NULL OR p <= over_) GROUP BY ALL),
+{name} AS (SELECT m.user_id, m.rid, (coalesce({'h.p' if forward else '-h.p'}, m.start) + {1 if forward else 0}) / 50.0::DOUBLE AS edge FROM {name}_m m LEFT JOIN {name}_h h USING (user_id, rid))"""
+
+
+@query(f"""WITH {_SND}, ct AS (SELECT user_id, i AS rid, i * 0.2::DOUBLE - 0.02::DOUBLE AS a, i * 0.2::DOUBLE + 0.19::DOUBLE AS b FROM fr WHERE event_type = 'purchase'),
+pv AS (SELECT ct.*, max(tw.idx) AS idx FROM ct LEFT JOIN tw ON tw.user_id = ct.user_id AND tw.e <= a + 0.15::DOUBLE GROUP BY ALL),
+nx AS (SELECT ct.user_id, rid, min(tw.idx) AS idx FROM ct LEFT JOIN tw ON tw.user_id = ct.user_id AND tw.s >= b - 0.15::DOUBLE GROUP BY ALL),
+ma AS (SELECT pv.user_id, rid, tw.e AS tm, a + 0.4::DOUBLE AS lim FROM pv JOIN tw USING (user_id, idx)), {_edge('ea', 'ma', True)},
+mb AS (SELECT nx.user_id, nx.rid, tw.s AS tm, b - 0.4::DOUBLE AS lim FROM nx JOIN tw USING (user_id, idx) JOIN ct ON ct.user_id = nx.user_id AND ct.rid = nx.rid), {_edge('eb', 'mb', False)},
+mv AS (SELECT ct.user_id, rid, a, b, CASE WHEN abs(ea.edge + 0.08::DOUBLE - a) < 0.3 THEN greatest(ea.edge + 0.08::DOUBLE, ma.tm + 0.05::DOUBLE) ELSE a END AS x, CASE WHEN abs(eb.edge - b) < 0.3 THEN eb.edge ELSE b END AS y
+  FROM ct LEFT JOIN ea USING (user_id, rid) LEFT JOIN ma USING (user_id, rid) LEFT JOIN eb USING (user_id, rid))
+SELECT user_id, rid, round(CASE WHEN y > x THEN round(x, 3) ELSE a END, 6) AS s, round(CASE WHEN y > x THEN round(y, 3) ELSE b END, 6) AS e FROM mv""")
+def snap_cut(spark: SparkSession, d: str) -> DataFrame:
+    w, heard, _ = talk(spark, d)
+    cuts = frames(spark, d).where("event_type = 'purchase'").select("user_id", F.col("i").alias("rid"), (F.col("i") * 0.2 - 0.02).alias("s"), (F.col("i") * 0.2 + 0.19).alias("e"))
+    out = fine.snap_cut(cuts, w, heard, U)
+    return out.select("user_id", "rid", F.round("s", 6).alias("s"), F.round("e", 6).alias("e"))
+
+
+@query(f"""WITH {_SND}, r AS (SELECT user_id, s AS ka, e AS kb, row_number() OVER w AS rn, lead(s) OVER w IS NULL AS final FROM kp WHERE e > s WINDOW w AS (PARTITION BY user_id ORDER BY s)),
+ins AS (SELECT r.*, tw.idx, tw.s, tw.e, tw.t, lead(tw.s) OVER o AS nxt, row_number() OVER o AS k FROM r JOIN tw ON tw.user_id = r.user_id AND tw.s >= ka - 0.05::DOUBLE AND tw.e <= kb + 0.05::DOUBLE WINDOW o AS (PARTITION BY r.user_id, rn ORDER BY tw.idx)),
+br AS (SELECT *, CASE WHEN regexp_matches(t, '[?!]$') THEN 0.28::DOUBLE ELSE 0.15::DOUBLE END AS tail FROM ins),
+cd AS (SELECT *, 'head' AS why FROM br WHERE k = 1 UNION ALL SELECT *, 'pause' FROM br WHERE nxt - e >= 0.15::DOUBLE AND (regexp_matches(t, '[.?!,]$') OR nxt - e >= 0.6::DOUBLE) UNION ALL SELECT *, 'tail' FROM br WHERE nxt IS NULL AND NOT final),
+c AS (SELECT *, row_number() OVER (ORDER BY user_id, rn, idx, why) AS rid FROM cd),
+m1 AS (SELECT user_id, rid, e AS tm, CASE WHEN why = 'pause' THEN nxt + 0.3::DOUBLE ELSE kb END AS lim FROM c WHERE why <> 'head'), {_edge('ee', 'm1', True)},
+m2 AS (SELECT c.user_id, c.rid, CASE WHEN why = 'pause' THEN nxt ELSE s END AS tm, CASE WHEN why = 'pause' THEN ee.edge ELSE ka END AS lim FROM c LEFT JOIN ee USING (user_id, rid) WHERE why <> 'tail'), {_edge('es_', 'm2', False)},
+xy AS (SELECT user_id, why, ka AS x, es_.edge - 0.05::DOUBLE AS y FROM c JOIN es_ USING (user_id, rid) WHERE why = 'head' AND es_.edge - ka > 0.05::DOUBLE + 0.12::DOUBLE
+ UNION ALL SELECT c.user_id, why, greatest(ee.edge + tail, ka), least(es_.edge, kb) FROM c JOIN ee USING (user_id, rid) JOIN es_ USING (user_id, rid) WHERE why = 'pause' AND least(es_.edge, kb) - greatest(ee.edge + tail, ka) >= 0.12::DOUBLE
+ UNION ALL SELECT c.user_id, why, ee.edge + tail, kb FROM c JOIN ee USING (user_id, rid) WHERE why = 'tail' AND kb - (ee.edge + tail) >= 0.12::DOUBLE + 0.1::DOUBLE
+ UNION ALL SELECT user_id, 'silence', ka, kb FROM r WHERE kb - ka >= 0.12::DOUBLE AND NOT EXISTS (SELECT 1 FROM ins WHERE ins.user_id = r.user_id AND ins.rn = r.rn)),
+xn AS (SELECT xy.*, n, row_number() OVER (ORDER BY user_id, x, y, why) AS id FROM xy JOIN size USING (user_id)),
+xl AS (SELECT *, {_level('(x + y) / 2', 0.5, 'xn')} AS level FROM xn)
+SELECT user_id, round(x, 2) AS s, round(y, 2) AS e, why AS reason FROM xl WHERE NOT EXISTS (SELECT 1 FROM tw WHERE tw.user_id = xl.user_id AND (tw.s + tw.e) / 2 > x + 0.06::DOUBLE AND (tw.s + tw.e) / 2 < y - 0.06::DOUBLE AND tw.e - tw.s < 1.5)
+ AND (SELECT count(*) FROM sm WHERE sm.user_id = xl.user_id AND sm.i >= floor(x * 50) + 3 AND sm.i < floor(y * 50) - 3 AND es > level) < 12""")
+def pause_full(spark: SparkSession, d: str) -> DataFrame:
+    return fine.pause_cuts(*talk(spark, d), U)
+
+
+@query()
+def fine_plan(spark: SparkSession, d: str) -> DataFrame:
+    """All rules in their order; signups are kept whole, purchases and clicks speak in turns."""
+    w, heard, _ = talk(spark, d)
+    f = frames(spark, d)
+    spoken = f.where("event_type IN ('purchase', 'click')").select("user_id", (F.col("i") * 0.2).alias("s"), (F.col("i") * 0.2 + 0.2).alias("e"), F.when(F.col("event_type") == "click", "H").otherwise("G").alias("spk"))
+    kept = f.groupBy("user_id").agg(F.lit(0.0).alias("s"), ((F.max("i") + 1) * 0.2).alias("e"))
+    protect = f.where("event_type = 'signup'").select("user_id", (F.col("i") * 0.2).alias("s"), (F.col("i") * 0.2 + 0.2).alias("e"))
+    say = fine.Language(hooks=["view click"], closers="(purchase|click)", fillers=["purchase"], stutters=["view", "click"], echoes=["click"])
+    out = fine.plan_cuts(w, heard, turns.merge_turns(spoken, U), kept, protect, U, say)
+    return out.select("user_id", F.round("s", 6).alias("s"), F.round("e", 6).alias("e"), "reason")
+
+
+@query(f"""WITH {_SND}, tn AS (SELECT user_id, i * 0.2::DOUBLE AS s, event_type AS spk FROM fr WHERE event_type IN ('purchase', 'click')),
+pp AS (SELECT user_id, s, e, row_number() OVER o - 1 AS pos, coalesce(sum(e - s) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM kp WHERE e > s WINDOW o AS (PARTITION BY user_id ORDER BY s)),
+lw AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY user_id ORDER BY idx), 0) AS prev FROM tw),
+mk AS (SELECT lw.user_id, idx AS rid, pos, t, lw.s AS ws, lw.e AS we, lw.s AS tm, greatest(lw.s - 0.25::DOUBLE, prev, pp.s) AS lim, pp.s AS ps, pp.e AS pe, start FROM lw JOIN pp ON pp.user_id = lw.user_id AND pp.s <= (lw.s + lw.e) / 2 AND (lw.s + lw.e) / 2 < pp.e), {_edge('ed', 'mk', False)}
+SELECT user_id, pos, rid AS idx, t, round(start + greatest(least(ws, greatest(edge, lim)), ps) - ps, 6) AS ts, round(start + least(we, pe) - ps, 6) AS te,
+ coalesce((SELECT arg_max(spk, tn.s) FROM tn WHERE tn.user_id = mk.user_id AND tn.s - 0.1::DOUBLE <= ws), (SELECT arg_min(spk, tn.s) FROM tn WHERE tn.user_id = mk.user_id), '') AS spk FROM mk JOIN ed USING (user_id, rid)""")
+def spoken_words(spark: SparkSession, d: str) -> DataFrame:
+    w, heard, kept = talk(spark, d)
+    spoken = frames(spark, d).where("event_type IN ('purchase', 'click')").select("user_id", (F.col("i") * 0.2).alias("s"), (F.col("i") * 0.2 + 0.2).alias("e"), F.col("event_type").alias("spk"))
+    p = kept.withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("s")).cast("long") - 1)
+    out = timeline.spoken_words(w, p, heard, spoken, U)
+    return out.select("user_id", "pos", "idx", "t", F.round("ts", 6).alias("ts"), F.round("te", 6).alias("te"), "spk")
+
+
 @query(f"""WITH {FR}, w AS (SELECT user_id, i / 50.0::DOUBLE AS s, (i + CASE WHEN event_type = 'view' THEN 2 ELSE 1 END) / 50.0::DOUBLE AS e, event_type AS t, event_id % 100 / 100.0::DOUBLE AS p FROM fr),
 wa AS (SELECT * FROM w WHERE t = 'view'), wb AS (SELECT * FROM w WHERE t = 'click' AND p >= 0.5),
 q AS (SELECT user_id, quantile_cont(v, 0.2) AS q FROM fr GROUP BY user_id)
@@ -448,6 +548,12 @@ def path_simplify(spark: SparkSession, d: str) -> DataFrame:
     return signals.douglas_peucker(f, U, 40.0)
 
 
+@query()
+def track_chunks(spark: SparkSession, d: str) -> DataFrame:
+    f = frames(spark, d).select("user_id", (F.col("i") * 0.2).alias("t"), F.col("v").alias("u"), (F.col("event_id") % 50).cast("double").alias("v"))
+    return signals.chunk_track(f, U, [45.0, 60.0, 80.0, 110.0, 150.0], 1.5)
+
+
 # ---- speakers, sentences, rules
 @query(f"""WITH {EV}, t AS (SELECT user_id, ms, event_type FROM ev WHERE event_type IN ('signup', 'purchase')),
 p AS (SELECT * FROM ev WHERE event_type = 'click')
