@@ -97,8 +97,12 @@ def sound(frames: DataFrame, key: Key, value: str = "db", half: int = 100, floor
     last = frames.groupBy(*key).agg((F.max("i") + 1).cast("long").alias("__n"))
     after = last.select(*key, F.explode(F.sequence(F.col("__n"), F.col("__n") + half - 1)).alias("i"), F.lit(None).cast("double").alias("__raw"), F.lit(None).cast("double").alias("v"))
     both = f.select(*key, "i", "__raw", "v").unionByName(after)
-    both = threshold(threshold(both, key, "__raw", "th", floor=floor, half=half), key, "__raw", "th_run", 0.5, floor, half)
-    return both.withColumn("n", F.count("__raw").over(Window.partitionBy(*key))).drop("__raw")
+    near = Window.partitionBy(*key).orderBy("i").rowsBetween(-half, half - 1)
+    both = both.withColumn("__p", F.percentile("__raw", F.array(F.lit(0.15), F.lit(0.85))).over(near))
+    for name, frac in (("th", 0.35), ("th_run", 0.5)):
+        level = F.get("__p", 0) + frac * (F.get("__p", 1) - F.get("__p", 0))
+        both = both.withColumn(name, F.greatest(level, F.lit(floor)) if floor is not None else level)
+    return both.drop("__p").withColumn("n", F.count("__raw").over(Window.partitionBy(*key))).drop("__raw")
 
 
 def _frame(t: Column, fps: float) -> Column:
