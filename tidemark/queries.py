@@ -17,8 +17,8 @@ from .operators import captions as cp
 from .operators import entities as en
 from .operators import fine
 from .operators import intervals as iv
-from .operators import rules, selection, signals, timeline, turns
-from .plans import document
+from .operators import angles, rules, selection, signals, timeline, turns
+from .plans import document, stages
 from .sources import media, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -870,6 +870,64 @@ def _geometry(spark: SparkSession, d: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_extendedprice").cast("long") % 3840).cast("double").alias("u"), (F.col("l_quantity") * 40).alias("v"), (1.0 + F.col("l_discount") * 5).alias("z"), (F.col("l_tax") + 0.01).alias("w"))
 
 
+@query(f"""WITH {PC}, g AS (SELECT *, pos - row_number() OVER (PARTITION BY l_orderkey, who ORDER BY pos) AS q FROM st),
+y AS (SELECT l_orderkey, greatest(start - 5, 0) AS t_in, start AS mention, who, CASE WHEN who = '' THEN start ELSE max(start + e - s) OVER (PARTITION BY l_orderkey, who, q) END AS stay FROM g),
+w AS (SELECT *, least(t_in + 60, stay) AS t_b FROM y WHERE who <> '' AND least(t_in + 60, stay) - mention >= 20),
+z AS (SELECT l_orderkey, t_in, who, t_in * 2 AS f_a, least(t_b * 2, lead(t_in * 2) OVER (PARTITION BY l_orderkey ORDER BY t_in, t_b)) AS f_b FROM w)
+SELECT * FROM z WHERE f_b - f_a >= 20""")
+def behind_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Two frames a unit of quantity; an item is mentioned where each piece starts."""
+    p = selection.stay_end(pieces(spark, d), O)
+    slots = p.select(*O, F.greatest(F.col("start") - 5, F.lit(0).cast("long")).alias("t_in"), F.col("start").alias("mention"), "who", "stay")
+    return selection.behind_windows(slots, O, 2, 60, 20, 10)
+
+
+@query("""WITH t AS (SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN p_brand ELSE p_brand || ' v' || (p_size % 7 + 2) END AS name FROM part), w AS (SELECT DISTINCT p_brand AS name FROM part),
+n AS (SELECT w.name, k FROM w, range(2, 60) r(k) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.name = w.name || ' v' || k))
+SELECT name, CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.name = n.name) THEN name || ' v' || min(k) ELSE name END AS free FROM n GROUP BY name""")
+def unique_name(spark: SparkSession, d: str) -> DataFrame:
+    part = _t(spark, d, "part")
+    taken = part.select(F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit(" v"), (F.col("p_size") % 7 + 2).cast("string"))).alias("name")).distinct()
+    return selection.unique_name(taken, part.select(F.col("p_brand").alias("name")))
+
+
+@query()
+def frame_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events as samples of two faces, framed between sign-ups."""
+    f = frames(spark, d)
+    face = lambda cx, seen: F.when(seen, F.struct(cx.alias("cx"), (F.col("event_id") % 300 + 500).cast("double").alias("ey"), (F.col("event_id") % 90 + 150).cast("double").alias("w")))
+    samples = f.select("user_id", (F.col("i") * 0.2).alias("t"), face(F.col("v") * 4 + 600, F.col("event_type") != "error").alias("H"), face(F.col("v") * 4 + 2400, F.col("event_type").isin("view", "click")).alias("G"))
+    _, _, kept = talk(spark, d)
+    order = Window.partitionBy("user_id").orderBy("s")
+    p = kept.withColumn("pos", F.row_number().over(order).cast("long") - 1).withColumn("spk", F.when(F.col("pos") % 2 == 1, "H").otherwise("G"))
+    out = angles.frame_pieces(p, samples, U, timeline.Canvas(), 3840.0, 2160.0)
+    return out.select("user_id", "pos", "part", *(F.round(c, 6).alias(c) for c in ("s", "e")), "spk", "who", F.round("zoom", 4).alias("zoom"), "pan", "tilt", "flags", "note")
+
+
+@query(f"""WITH {_SND}, sp AS (SELECT user_id, i * 0.2::DOUBLE AS s, row_number() OVER (PARTITION BY user_id ORDER BY i) AS k FROM fr WHERE event_type IN ('purchase', 'click')),
+se AS (SELECT sp.user_id, sp.k, min(tw.idx) AS rid FROM sp JOIN tw ON tw.user_id = sp.user_id AND tw.s >= sp.s - 1e-6::DOUBLE WHERE sp.k > 1 GROUP BY ALL),
+mk AS (SELECT DISTINCT user_id, rid, tw.s AS tm, greatest(tw.s - 0.4::DOUBLE, 0) AS lim FROM se JOIN tw ON tw.user_id = se.user_id AND tw.idx = se.rid), {_edge('ed', 'mk', False)}
+SELECT DISTINCT user_id, round(greatest(edge - 0.08::DOUBLE, 0), 6) AS t FROM ed""".replace("SELECT DISTINCT user_id, rid, tw.s", "SELECT DISTINCT se.user_id, rid, tw.s"))
+def turn_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """Every word a sentence; purchases and clicks speak in turn."""
+    w, heard, _ = talk(spark, d)
+    spoken = frames(spark, d).where("event_type IN ('purchase', 'click')").select("user_id", (F.col("i") * 0.2).alias("s"), (F.col("i") * 0.2 + 0.2).alias("e"), F.col("event_type").alias("spk"))
+    sents = w.select("user_id", F.col("idx").alias("sent"), "s", F.col("idx").alias("first"))
+    return angles.turn_cuts(spoken, w, sents, heard, U, 25.0).select("user_id", F.round("t", 6).alias("t")).distinct()
+
+
+@query()
+def rough_stage(spark: SparkSession, d: str) -> DataFrame:
+    """Words and sound of the users' events to the pieces of a rough cut."""
+    f = frames(spark, d)
+    w, _, _ = talk(spark, d)
+    snd = f.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9)))).select("user_id", (F.col("i") * 10 + F.col("k")).alias("i"), (F.when(F.col("event_type") == "error", -45.0).otherwise(0.0) + F.col("v") * 0.013 - F.col("k") * 2).alias("db"))
+    whole = f.groupBy("user_id").agg(((F.max("i") + 1) * 0.2).alias("duration"), F.lit(25.0).alias("fps"))
+    words_ = w.where("t LIKE 'purchase%'").select("user_id", "s", "e")
+    out, _ = stages.rough(words_, snd, whole, U, 25.0)
+    return out.select("user_id", F.col("pos").cast("long").alias("pos"), F.round("s", 6).alias("s"), F.round("e", 6).alias("e"), F.concat_ws(",", "flags").alias("flags"))
+
+
 _GEO = "g AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, trunc(l_extendedprice)::BIGINT % 3840 + 0.0::DOUBLE AS u, l_quantity * 40 AS v, 1 + l_discount * 5 AS z, l_tax + 0.01::DOUBLE AS w FROM lineitem)"
 
 

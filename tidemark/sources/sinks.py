@@ -71,6 +71,18 @@ def summary(shorts: DataFrame, pieces: DataFrame, cuts: DataFrame, markers: Data
     return out.select(*key, "before", F.coalesce("after", F.col("before") * 0).alias("after"), zero("pieces"), zero("cuts"), F.coalesce("reasons", F.lit("")).alias("reasons"), zero("markers"))
 
 
+def review_flags(shorts: DataFrame, pieces: DataFrame, markers: DataFrame, key: Key, remark: str) -> DataFrame:
+    """(key, flags): what a person should look at: bad angles, stretches kept for review, a remark among the notes, no words.
+    shorts: (key, notes, asr); pieces: (key, flags); markers: (key, name)."""
+    bad = pieces.groupBy(*key).agg(F.sum(F.array_contains("flags", "bad_angle").cast("int")).alias("bad"))
+    review = markers.groupBy(*key).agg(F.sum(F.col("name").startswith("CHECK").cast("int")).alias("review"))
+    s = shorts.join(bad, list(key), "left").join(review, list(key), "left")
+    count = lambda c, text: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(text)))
+    noted = F.when(F.exists(F.coalesce("notes", F.array().cast("array<string>")), lambda n: n.contains(remark)), remark)
+    parts = (count("bad", " bad angle"), count("review", " silent stretch(es) to review"), noted, F.when(F.col("asr") == "energy", "no word timings"))
+    return s.select(*key, F.array_compact(F.array(*parts)).alias("flags"))
+
+
 def markdown(summary_rows: DataFrame) -> str:
     """The summary as a Markdown table, a line a short; collected, as it is for reading."""
     cols = summary_rows.columns
