@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import signals
 from .intervals import overlapping
+from .lineage import settled
 from .timeline import Canvas
 
 Key = Sequence[str]
@@ -73,14 +74,14 @@ def frame_pieces(pieces: DataFrame, samples: DataFrame, key: Key, canvas: Canvas
 
     track = near.join(p.select(*at, "who"), at).withColumn("f", F.when(F.col("who") == "H", F.col("H")).when(F.col("who") == "G", F.col("G"))).where("f IS NOT NULL")
     track = track.select(*at, "t", "f.cx", "f.ey", "f.w")
-    track = signals.median_smooth(signals.median_smooth(track, at, "cx", "u", i="t"), at, "ey", "v", i="t")
+    track = settled(signals.median_smooth(signals.median_smooth(track, at, "cx", "u", i="t"), at, "ey", "v", i="t"))
     head = F.row_number().over(Window.partitionBy(*at).orderBy("t")) <= AHEAD
     first = lambda c: F.median(F.when(F.col("__head"), F.col(c)))
     heads = track.withColumn("__head", head).groupBy(*at).agg(
         first("cx").alias("ru"), first("ey").alias("rv"), first("u").alias("u0"), first("v").alias("v0"), F.median("w").alias("fw"),
         ((F.max("u") - F.min("u") > static[0] * k) | (F.max("v") - F.min("v") > static[1] * k)).alias("moves"), F.count("*").alias("points"),
     )
-    p = p.join(heads, at, "left").withColumn("dur", F.col("e") - F.col("s"))
+    p = settled(p.join(heads, at, "left").withColumn("dur", F.col("e") - F.col("s")))
 
     # one zoom step for the key
     held = p.where("fw IS NOT NULL")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import intervals, rules, signals
+from ..operators.lineage import settled
 
 Key = Sequence[str]
 SLIVER = 3  # frames; shorter pieces go
@@ -49,13 +50,13 @@ def rough(words: DataFrame, frames: DataFrame, shorts: DataFrame, key: Key, fps:
 
     Long gaps are protected for review, or, given `shown` (key, s, e), what shows something; without either nothing is.
     Kept ranges grow to whole frames; parts of protected ranges are flagged. A short without words keeps the whole clip."""
-    cuts = rough_cuts(words, frames, shorts, key, c)
+    cuts = settled(rough_cuts(words, frames, shorts, key, c))
     protect = shown if shown is not None else rules.long_gaps(cuts, c.review_min)
     protect = protect.select(*key, "s", "e") if review or shown is not None else protect.select(*key, "s", "e").limit(0)
     spoken = shorts.join(words.select(*key).distinct(), list(key), "left_semi")
     applied = intervals.subtract(cuts, protect, key)
     keep = intervals.invert(applied, spoken.select(*key, F.lit(0.0).alias("lo"), F.col("duration").alias("hi")), key)
-    keep = intervals.snap_keep(keep, spoken, key, fps).where(F.col("e") - F.col("s") >= SLIVER / fps)
+    keep = settled(intervals.snap_keep(keep, spoken, key, fps).where(F.col("e") - F.col("s") >= SLIVER / fps))
     none = F.array().cast("array<string>")
     parts = intervals.split_protected(keep.withColumn("flags", none), intervals.merge(protect, key), key)
     whole = shorts.join(words.select(*key).distinct(), list(key), "left_anti").select(*key, F.lit(0.0).alias("s"), F.col("duration").alias("e"), none.alias("flags"))

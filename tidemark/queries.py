@@ -17,7 +17,7 @@ from .operators import captions as cp
 from .operators import entities as en
 from .operators import fine
 from .operators import intervals as iv
-from .operators import angles, rules, selection, signals, timeline, turns
+from .operators import angles, lineage, rules, selection, signals, timeline, turns
 from .plans import document, stages
 from .sources import media, sinks
 
@@ -502,7 +502,7 @@ def fine_plan(spark: SparkSession, d: str) -> DataFrame:
     spoken = f.where("event_type IN ('purchase', 'click')").select("user_id", (F.col("i") * 0.2).alias("s"), (F.col("i") * 0.2 + 0.2).alias("e"), F.when(F.col("event_type") == "click", "H").otherwise("G").alias("spk"))
     kept = f.groupBy("user_id").agg(F.lit(0.0).alias("s"), ((F.max("i") + 1) * 0.2).alias("e"))
     protect = f.where("event_type = 'signup'").select("user_id", (F.col("i") * 0.2).alias("s"), (F.col("i") * 0.2 + 0.2).alias("e"))
-    heard = fine.settled(heard)
+    heard = lineage.settled(heard)
     say = fine.Language(hooks=["view click"], closers="(purchase|click)", fillers=["purchase"], stutters=["view", "click"], echoes=["click"])
     out = fine.plan_cuts(w, heard, turns.merge_turns(spoken, U), kept, protect, U, say)
     return out.select("user_id", F.round("s", 6).alias("s"), F.round("e", 6).alias("e"), "reason")
