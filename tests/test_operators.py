@@ -96,6 +96,7 @@ def test_time_mapping(ivs, make):
     p = make([("a", 0, 0.0, 4.0), ("a", 1, 10.0, 12.0), ("a", 2, 3.0, 5.0)], "short string, pos int, s double, e double")
     t = make([("a", x) for x in (3.5, 11.0, 4.5, 9.0)], "short string, t double")
     assert {r.t: r.tl for r in timeline.src_to_tl(t, p, K).collect()} == {3.5: 3.5, 11.0: 5.0, 4.5: 7.5, 9.0: None}
+    assert {r.t: r.tl for r in timeline.src_to_tl(t, p, K, bin_=2.0).collect()} == {3.5: 3.5, 11.0: 5.0, 4.5: 7.5, 9.0: None}
     assert {r.t: r.src for r in timeline.tl_to_src(t, p, K).collect()} == {3.5: 3.5, 11.0: None, 4.5: 10.5, 9.0: None}
     assert tb.exact(29.97) == 30000 / 1001 and tb.exact(25) == 25.0
     one = make([(0.1,)], "x double")

@@ -30,34 +30,49 @@ def frame_bounds(pieces: DataFrame, key: Key, fps: float, unit: float = 1, pos:
     return pieces.withColumn("__end", end).withColumns({"f_in": frame(F.col("__end") - (F.col("e") - F.col("s"))), "f_out": frame(F.col("__end"))}).drop("__end")
 
 
-def _first_piece(points: DataFrame, pieces: DataFrame, key: Key, t: str, lo: Column, hi: Column, value: Column, out: str, pos: str) -> DataFrame:
-    p = piece_starts(pieces, key, pos).withColumns({"__lo": lo, "__hi": hi}).select(*(F.col(k).alias(f"__{k}") for k in key), F.col(pos).alias("__pos"), "s", "start", "__lo", "__hi")
-    p = p.withColumnsRenamed({"s": "__s", "start": "__start"})
-    on = (F.col("__lo") <= F.col(t)) & (F.col(t) < F.col("__hi"))
-    for k in key:
-        on = on & (F.col(k) == F.col(f"__{k}"))
-    hit = points.join(p, on, "left").withColumn(out, value)
-    return hit.groupBy(*points.columns).agg(F.min_by(out, "__pos").alias(out))
+def _binned(points: DataFrame, at: Column, pieces: DataFrame, key: Key, bin_: float | None) -> DataFrame:
+    """Points with the pieces of their key whose [s, e) holds `at`; with bin_ only pieces within the same bin of time meet, so
+    that a key with many points and pieces is spread and costs what it holds."""
+    by = list(key)
+    if bin_ is not None:
+        points = points.withColumn("__bin", F.floor(at / bin_))
+        pieces = pieces.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__s") / bin_), F.floor(F.greatest("__s", "__e") / bin_))))
+        by.append("__bin")
+    return points.join(pieces, by).where((F.col("__s") <= at) & (at < F.col("__e"))).drop("__bin")
 
 
-def src_to_tl(points: DataFrame, pieces: DataFrame, key: Key, t: str = "t", pos: str = "pos") -> DataFrame:
-    """Adds tl: timeline time of source time t in the first piece that holds it, else null. Points are distinct rows."""
-    return _first_piece(points, pieces, key, t, F.col("s"), F.col("e"), F.col("__start") + F.col(t) - F.col("__s"), "tl", pos)
+def _placed(pieces: DataFrame, key: Key, pos: str) -> DataFrame:
+    return piece_starts(pieces, key, pos).select(*key, F.col(pos).alias("__pos"), F.col("s").alias("__s"), F.col("e").alias("__e"), F.col("start").alias("__start"))
 
 
-def tl_to_src(points: DataFrame, pieces: DataFrame, key: Key, t: str = "t", pos: str = "pos") -> DataFrame:
-    """Adds src: source time at timeline time t, else null."""
-    return _first_piece(points, pieces, key, t, F.col("start"), F.col("start") + F.col("e") - F.col("s"), F.col("__s") + F.col(t) - F.col("__start"), "src", pos)
+def src_to_tl(points: DataFrame, pieces: DataFrame, key: Key, t: str = "t", pos: str = "pos", bin_: float | None = None) -> DataFrame:
+    """Adds tl: timeline time of source time t in the first piece that holds it, else null. Points are distinct rows without
+    null; bin_: a length of time within which points and pieces are compared."""
+    hit = _binned(points, F.col(t), _placed(pieces, key, pos), key, bin_)
+    found = hit.groupBy(*points.columns).agg(F.min_by(F.col("__start") + F.col(t) - F.col("__s"), "__pos").alias("tl"))
+    return points.join(found, points.columns, "left")
 
 
-def timeline_words(words: DataFrame, pieces: DataFrame, key: Key, pos: str = "pos") -> DataFrame:
+def tl_to_src(points: DataFrame, pieces: DataFrame, key: Key, t: str = "t", pos: str = "pos") -> DataFrame:
+    """Adds src: source time at timeline time t, else null. Pieces follow one another, so the last one to start decides: one
+    window over both tables."""
+    carried = [c for c in points.columns if c not in key]
+    p = points.select(*key, F.col(t).alias("__at"), F.lit(1).alias("__kind"), F.struct(*carried).alias("__row"))
+    q = _placed(pieces, key, pos)
+    q = q.select(*key, F.col("__start").alias("__at"), F.lit(0).alias("__kind"), "__pos", F.struct("__s", "__e", "__start").alias("__piece"))
+    order = Window.partitionBy(*key).orderBy("__at", "__kind", "__pos").rowsBetween(Window.unboundedPreceding, 0)
+    both = p.unionByName(q, allowMissingColumns=True).withColumn("__piece", F.last("__piece", ignorenulls=True).over(order)).where("__kind = 1")
+    src = F.col("__piece.__s") + F.col("__at") - F.col("__piece.__start")
+    return both.select(*(F.col(c) if c in key else F.col(f"__row.{c}") for c in points.columns), F.when(src < F.col("__piece.__e"), src).alias("src"))
+
+
+def timeline_words(words: DataFrame, pieces: DataFrame, key: Key, pos: str = "pos", bin_: float | None = None) -> DataFrame:
     """(key, pos, t, ws, ts, te): words whose middle lies in a piece, clipped to it, in timeline time; ws is the source
-    start. A word in two overlapping pieces comes twice. words: (key, s, e, t)."""
+    start. A word in two overlapping pieces comes twice. words: (key, s, e, t); bin_: as in `src_to_tl`."""
     w = words.select(*key, F.col("s").alias("ws"), F.col("e").alias("we"), "t")
-    both = piece_starts(pieces, key, pos).select(*key, pos, "s", "e", "start").join(w, list(key))
-    both = both.where((2 * F.col("s") <= F.col("ws") + F.col("we")) & (F.col("ws") + F.col("we") < 2 * F.col("e")))
-    at = lambda x: F.col("start") + x - F.col("s")
-    return both.select(*key, pos, "t", "ws", at(F.greatest("ws", "s")).alias("ts"), at(F.least("we", "e")).alias("te"))
+    both = _binned(w, (F.col("ws") + F.col("we")) / 2, _placed(pieces, key, pos), key, bin_)
+    at = lambda x: F.col("__start") + x - F.col("__s")
+    return both.select(*key, F.col("__pos").alias(pos), "t", "ws", at(F.greatest("ws", "__s")).alias("ts"), at(F.least("we", "__e")).alias("te"))
 
 
 def spoken_words(words: DataFrame, pieces: DataFrame, heard: DataFrame, spoken: DataFrame, key: Key, pos: str = "pos") -> DataFrame:

@@ -274,7 +274,7 @@ SELECT l_orderkey, t, (SELECT min(st.start + pt.t - st.s) FROM st WHERE st.l_ord
 def src_to_tl(spark: SparkSession, d: str) -> DataFrame:
     p = pieces(spark, d)
     points = p.select("l_orderkey").distinct().select("l_orderkey", F.explode(F.array(*(F.lit(x).cast("long") for x in _POINTS))).alias("t"))
-    return timeline.src_to_tl(points, p, O)
+    return timeline.src_to_tl(points, p, O, bin_=4000)
 
 
 @query(f"""WITH {PC}, pt AS (SELECT l_orderkey, unnest([0, 20, 55, 90, 400])::BIGINT AS t FROM (SELECT DISTINCT l_orderkey FROM pc))
@@ -334,7 +334,7 @@ SELECT k.user_id, pos, ev.event_type AS t, ev.ms AS ws, start + greatest(ev.ms,
 FROM k JOIN ev ON ev.user_id = k.user_id AND s <= ev.ms + 30000 AND ev.ms + 30000 < e""")
 def timeline_words(spark: SparkSession, d: str) -> DataFrame:
     k = kept_ranges(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("s")).cast("long") - 1)
-    return timeline.timeline_words(words(spark, d), k, U)
+    return timeline.timeline_words(words(spark, d), k, U, bin_=24 * HOUR)
 
 
 # ---- frame series
