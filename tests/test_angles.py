@@ -97,3 +97,22 @@ def test_names_windows_widths_and_flags(make):
     p = make([("a", ["bad_angle"]), ("a", []), ("b", [])], "short string, flags array<string>")
     m = make([("a", "CHECK showing?")], "short string, name string")
     assert {r.short: r.flags for r in sinks.review_flags(s, p, m, K, "may not fit").collect()} == {"a": ["1 bad angle", "1 silent stretch(es) to review", "may not fit", "no word timings"], "b": []}
+
+
+def test_ingest(make):
+    info = make([(n, f"/{n}", 25.0, 9.0) for n in "abcd"], "short string, path string, fps double, duration double")
+    levels = make([("/a", 0, 0, -10.0), ("/a", 0, 1, -12.0), ("/b", 0, 0, -10.0), ("/b", 0, 1, -10.0), ("/b", 1, 0, -90.0), ("/c", 0, 0, -80.0)], "path string, stream int, channel int, peak double")
+    alike = make([("/a", 0.2, 1.0), ("/b", 1.0, 1.0)], "path string, corr double, ratio double")
+    got = {r.short: (r.mic, r.a1, r.a2, r.empty, r.enabled, len(r.notes)) for r in stages.ingest(info, levels, alike).collect()}
+    assert got == {"a": ("two", [0, 0], [0, 1], [], True, 0), "b": ("single", [0, 0], None, [[1, 0]], True, 0), "c": ("single", None, None, [[0, 0]], False, 1), "d": ("none", None, None, [], False, 1)}
+    folders = make([("29:09:26 Lian", "/x/1"), ("30:09:26 Ada", "/x/2"), ("01:10:26 test", "/x/3")], "name string, path string")
+    assert [r.path for r in stages.newest_batch(folders, skip=["test"]).collect()] == ["/x/2"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidemark.__main__ import main
+
+    main(["list"])
+    assert "fine_plan" in capsys.readouterr().out.split()
+    main(["run", "interval_merge", "/root/testdata/sf0.001", str(tmp_path / "out")])
+    assert spark.read.parquet(str(tmp_path / "out")).columns == ["user_id", "s", "e"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals, rules, signals
 from ..operators.lineage import settled
+from ..sources import media
 
 Key = Sequence[str]
 SLIVER = 3  # frames; shorter pieces go
@@ -29,6 +30,33 @@ class Rough:
     review_min: float = 2.5
 
 
+NO_AUDIO = "[ingest] no audible audio channel: left out of every stage"  # fixed value: the note that later stages look for
+
+
+def newest_batch(names: DataFrame, order: str = "DMY", skip: Sequence[str] = (), name: str = "name") -> DataFrame:
+    """The row of the newest dated folder (ties: the last by path), if any. names: (name, path)."""
+    return media.batches(names, order, skip, name).orderBy(F.col("date").desc(), F.col("path").desc()).limit(1)
+
+
+def ingest(info: DataFrame, levels: DataFrame, alike: DataFrame, empty_db: float = -60.0) -> DataFrame:
+    """(short, path, fps, duration, mic, a1, a2, empty, enabled, notes): clips as shorts, with the channels that carry sound.
+
+    info: (short, path, fps, duration); levels: (path, stream, channel, peak) in dB; alike: (path, corr, ratio) of the first two
+    live channels, as `signals.channel_stats` gives them. mic: two if a second live channel is not a copy of the first, single
+    otherwise, none without channels. Channels are [stream, channel]; a clip without live ones is not enabled."""
+    live = F.col("peak") > empty_db
+    place = F.struct("stream", "channel")
+    listed = lambda on: F.transform(F.array_sort(F.collect_list(F.when(on, place))), lambda x: F.array(x["stream"], x["channel"]))
+    per = levels.groupBy("path").agg(listed(live).alias("live"), listed(~live).alias("empty"))
+    copy = F.coalesce((F.col("corr") > 0.995) & (F.abs(F.col("ratio") - 1) < 0.12), F.lit(False))
+    df = info.select("short", "path", "fps", "duration").join(per, "path", "left").join(alike.select("path", copy.alias("copy")), "path", "left")
+    two = (F.size("live") > 1) & ~F.coalesce("copy", F.lit(False))
+    mic = F.when(F.col("live").isNull(), "none").when(two, "two").otherwise("single")
+    a1 = F.get("live", F.lit(0))
+    none = F.array().cast("array<string>")
+    return df.select("short", "path", "fps", "duration", mic.alias("mic"), a1.alias("a1"), F.when(two, F.get("live", F.lit(1))).alias("a2"), F.coalesce("empty", F.array().cast(per.schema["empty"].dataType)).alias("empty"), a1.isNotNull().alias("enabled"), F.when(a1.isNull(), F.array(F.lit(NO_AUDIO))).otherwise(none).alias("notes"))
+
+
 def rough_cuts(words: DataFrame, frames: DataFrame, shorts: DataFrame, key: Key, c: Rough = Rough()) -> DataFrame:
     """(key, s, e, reason): where nobody speaks, pulled in while the sound there is loud. frames: (key, i, db);
     shorts: (key, duration, fps)."""
