@@ -8,6 +8,8 @@ from tidemark.operators import signals
 
 RUN = [7.63, 74.31, 3.9, 9.46, 51.11, 153.11, 10.05, 60.0, 101.61, 1.31, 37.75, 4.54, 42.05, 20.96, 22.76, 13.86, 104.1, 23.91, 82.94, 12.56, 1.04, 40.89, 15.97, 0.37]
 RUN += [58.49, 3.77, 43.12, 110.91, 32.93, 42.29, 235.72, 14.42, 45.43, 19.03, 40.59, 67.77, 71.95, 2.6, 96.8, 62.59, 173.13, 2.11, 51.63, 54.1, 118.77, 9.24, 9.71]
+START = [83.64, 76.93, 74.05, 18.85, 5.18, 56.58, 15.99, 18.06, 33.79, 35.64, 40.71, 44.2, 17.54, 32.14, 93.08, 74.45, 58.73, 80.65, 31.85, 7.22, 87.74, 226.81, 44.14, 0.6]
+START += [34.43, 6.92, 11.37, 14.05, 8.38, 9.69, 35.79, 5.04, 2.67, 8.27, 6.79, 34.61, 93.82, 67.85, 37.65, 19.11]
 
 
 def levels(spark, values, frac):
@@ -28,6 +30,11 @@ def test_loud_run_at_a_level(spark):
     assert signals.loud_run(r, levels(spark, RUN, 0.5), ["u"], need=7).first().loud is False
 
 
+def test_scan_start_at_a_level(spark):
+    marks = spark.createDataFrame([(1, 8, 12, 0)], "u long, mark long, start long, limit long")
+    assert signals.scan(marks, levels(spark, START, 0.35), ["u"], False, quiet=3).first().edge == 9
+
+
 def test_sound_without_levels_and_with_one_frame(spark):
     f = spark.createDataFrame([(1, 0, -3.0)], "u long, i long, db double")
     got = {r.i: (r.v, r.th, r.th_run, r.n) for r in signals.sound(f, ["u"], half=2).collect()}
