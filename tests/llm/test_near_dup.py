@@ -90,3 +90,14 @@ def test_a_core_in_common_links_nothing_and_hides_no_link(spark):
     rnd.shuffle(docs)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=1).collect()}
     assert got == brute(docs, 1)
+
+
+def test_prefixes_count_what_follows(spark):
+    from tidemark.llm import near_dup
+
+    each = spark.createDataFrame([(1, s) for s in range(5)] + [(2, s) for s in range(1, 6)], "node long, shingle long")
+    often = spark.createDataFrame([(s, 2) for s in range(1, 5)], "shingle long, c long")
+    own = spark.createDataFrame([(1, 1), (2, 1)], "node long, own long")
+    sizes = spark.createDataFrame([(1, 5), (2, 5)], "node long, n long")
+    got = {(r.node, r.shingle): r.after for r in near_dup._prefixes(each, often, own, sizes, 4, 5).collect()}
+    assert got == {(1, 1): 3, (2, 1): 3}

@@ -183,15 +183,15 @@ def _shingle_rows(texts: DataFrame, width: int, bands: int, rows: int) -> DataFr
 
 
 def _prefixes(each: DataFrame, often: DataFrame, own: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """(shingle, node, short): of each set in order of rarity as many shingles as a set must share one of with any set that it can be
+    """(shingle, node, short, after): of each set in order of rarity as many shingles as a set must share one of with any set that it can be
     linked to. Of two linked sets the smaller one has it among its `short` ones: it shares 2 num / (num + den) of its own, the
-    larger one num / den. Shingles that are a set's own come first and lead nowhere, so only the others are rows."""
+    larger one num / den. Shingles that are a set's own come first and lead nowhere, so only the others are rows. after: how many of the set's shingles follow."""
     up = lambda a, b: F.floor((a + b - 1) / b)
     shared = each.join(often, "shingle")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("c", "shingle"))
     at = shared.withColumn("rank", rank).join(own, "node").join(sizes, "node").withColumn("at", F.col("rank") + F.col("own"))
     long_, short = (F.col("n") - up(F.col("n") * p, F.lit(q)) + 1 for p, q in ((num, den), (2 * num, num + den)))
-    return at.where(F.col("at") <= long_).select("shingle", "node", (F.col("at") <= short).alias("short"))
+    return at.where(F.col("at") <= long_).select("shingle", "node", (F.col("at") <= short).alias("short"), (F.col("n") - F.col("at")).alias("after"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -347,9 +347,11 @@ def near_duplicates(
     mixed = rare.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("short").alias("any")).where("lo <> hi AND any").select("shingle")
     rare = rare.join(mixed, "shingle", "left_semi").join(inside.drop("comp"), "node")
     x, y = rare.alias("p"), rare.where("short").alias("q")
-    # the bounds are part of the join, on folds of a quarter of the bits; what is left meets the whole folds below
+    # the bounds are part of the join, on folds of a quarter of the bits; what is left meets the whole folds below. At the first
+    # shingle that linked sets share, they share no more than it and what follows in either
     bits = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"p.b{i}").bitwiseXOR(F.col(f"q.b{i}"))) for i in range(BRIEF)))
-    near = close("p", "q") & (bits * (den + num) <= (F.col("p.n") + F.col("q.n")) * (den - num))
+    follow = (F.least("p.after", "q.after") + 1) * (den + num) >= (F.col("p.n") + F.col("q.n")) * num
+    near = follow & close("p", "q") & (bits * (den + num) <= (F.col("p.n") + F.col("q.n")) * (den - num))
     met = x.join(y, (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.comp") != F.col("q.comp")) & (F.col("p.n") >= F.col("q.n")) & near)
     met = met.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b"))
     a, b = facts.alias("x"), facts.alias("y")
